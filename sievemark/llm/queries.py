@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import charset, lookalike
+from .common import both_tables, ensure_checkpoint_dir, table
 from .leaks import leaked_items
 from .sentences import sentences
 from .split import split_oversized
@@ -13,6 +14,36 @@ from .sql import ORACLE
 from .tokenize import token_ids
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return both_tables(table(spark, sf_dir, "text_chunk"), table(spark, sf_dir, "extracted_content"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the look-alike classes; rows garbled by a wrong set take no part."""
+    texts = _texts(spark, sf_dir)
+
+    def sound(rows: DataFrame) -> DataFrame:
+        ensure_checkpoint_dir(spark)
+        rows = rows.checkpoint()
+        return rows.join(charset.garbled(rows, corpus=texts), ["rec_table", "rec_id"], "left_anti")
+
+    return lookalike.pairs(lookalike.classes(texts, sound))
+
+
+def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in its consistent form."""
+    return lookalike.consistent(_texts(spark, sf_dir))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charset.garbled(_texts(spark, sf_dir))
+
+
+def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affected rows with their text as far as it could be restored."""
+    return charset.garbled(_texts(spark, sf_dir), with_text=True)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that were cut: those for which the splitter gives more than one piece."""
     pieces = split_oversized(table(spark, sf_dir, "extracted_content"))
@@ -36,7 +67,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p6_found, p6_restored, p3_found, p3_pieces, p8_ids, p9_found, p10_found)}
 
 
 def queries() -> dict:
