@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import charset, lookalike
 from .common import both_tables, ensure_checkpoint_dir, table
+from . import scans
+from .common import OCR_EXTRACTORS, with_extractor
+from .names import map_rows
 from .leaks import leaked_items
 from .sentences import sentences
 from .split import split_oversized
@@ -35,6 +38,23 @@ def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent(_texts(spark, sf_dir))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return map_rows(table(spark, sf_dir, "text_chunk"), table(spark, sf_dir, "field_ref"))
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_extractor(table(spark, sf_dir, "extracted_content"), table(spark, sf_dir, "scan_result"), OCR_EXTRACTORS)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.scan_lines(_scanned(spark, sf_dir), table(spark, sf_dir, "extracted_content"))
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of scanned pages in continuous paragraphs."""
+    return scans.repaired(_scanned(spark, sf_dir), table(spark, sf_dir, "extracted_content"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charset.garbled(_texts(spark, sf_dir))
 
@@ -67,7 +87,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p6_found, p6_restored, p3_found, p3_pieces, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p6_found, p6_restored, p3_found, p3_pieces, p4_found, p5_found, p5_repaired, p8_ids, p9_found, p10_found)}
 
 
 def queries() -> dict:
