@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from . import charset, lookalike
 from .common import both_tables, ensure_checkpoint_dir, table
-from . import scans
-from .common import OCR_EXTRACTORS, with_extractor
+from . import mainbody, scans
+from .common import HTML_EXTRACTORS, OCR_EXTRACTORS, with_extractor
 from .names import map_rows
 from .leaks import leaked_items
 from .sentences import sentences
@@ -64,6 +64,21 @@ def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charset.garbled(_texts(spark, sf_dir), with_text=True)
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages, lines that were garbled by a wrong character set restored where that keeps the lines apart."""
+    contents = table(spark, sf_dir, "extracted_content")
+    pages = with_extractor(contents, table(spark, sf_dir, "scan_result"), HTML_EXTRACTORS)
+    garbled = charset.garbled(pages.select(F.lit("extracted_content").alias("rec_table"), F.col("content_id").alias("rec_id"), "text"), corpus=contents, with_text=True)
+    feeds = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    restored = F.when(feeds(F.col("restored")) == feeds(F.col("text")), F.col("restored"))
+    return pages.join(garbled.select(F.col("rec_id").alias("content_id"), "restored"), "content_id", "left").select("content_id", F.coalesce(restored, "text").alias("text"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return mainbody.keep_lines(_pages(spark, sf_dir).checkpoint())
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that were cut: those for which the splitter gives more than one piece."""
     pieces = split_oversized(table(spark, sf_dir, "extracted_content"))
@@ -87,7 +102,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p6_found, p6_restored, p3_found, p3_pieces, p4_found, p5_found, p5_repaired, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p6_found, p6_restored, p3_found, p3_pieces, p4_found, p5_found, p5_repaired, p8_ids, p9_found, p10_found)}
 
 
 def queries() -> dict:
