@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import charset, lookalike
 from .common import both_tables, ensure_checkpoint_dir, table
-from . import mainbody, scans
+from . import mainbody, pii, scans
 from .common import HTML_EXTRACTORS, OCR_EXTRACTORS, with_extractor
 from .names import map_rows
 from .leaks import leaked_items
@@ -90,6 +90,21 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "extracted_content"))
 
 
+def _free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks without a heading, and all file texts."""
+    chunks = table(spark, sf_dir, "text_chunk").where(F.col("field_name").isNull())
+    return both_tables(chunks, table(spark, sf_dir, "extracted_content"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_information(_free_texts(spark, sf_dir))
+
+
+def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with typed placeholders."""
+    return pii.redacted(_free_texts(spark, sf_dir))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
@@ -102,7 +117,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p6_found, p6_restored, p3_found, p3_pieces, p4_found, p5_found, p5_repaired, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_texts, p2_found, p6_found, p6_restored, p7_found, p7_redacted, p3_found, p3_pieces, p4_found, p5_found, p5_repaired, p8_ids, p9_found, p10_found)}
 
 
 def queries() -> dict:
