@@ -6,6 +6,7 @@ import codecs
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _MARKS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16le"), (codecs.BOM_UTF16_BE, "utf-16be"))
 
@@ -62,13 +63,13 @@ def repair_mojibake(text: str) -> str:
     return again if cyrillic(again) > cyrillic(text) else text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_bytes(raw: pd.Series) -> pd.Series:
     """Column form of ``decode``; null stays null."""
     return raw.map(lambda b: None if b is None else decode(bytes(b)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_texts(text: pd.Series) -> pd.Series:
     """Column form of ``repair_mojibake``; null stays null."""
     return text.map(lambda t: None if t is None else repair_mojibake(t))
