@@ -19,16 +19,19 @@ def find_spans(text: Column, regex: str) -> Column:
 
     The search for places runs only where there is a match at all.
     """
-    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    gaps = F.split(text, regex, -1)
+    both = F.struct(F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("m"), F.split(text, regex, -1).alias("g"))
 
-    def span(value: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x))
-        matched = F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-        start = before + matched
-        return F.struct(value.alias("value"), start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("end"))
+    def places(x: Column) -> Column:
+        def span(value: Column, i: Column) -> Column:
+            before = F.aggregate(F.slice(x["g"], F.lit(1), i + 1), F.lit(0), lambda a, y: a + F.length(y))
+            matched = F.aggregate(F.slice(x["m"], F.lit(1), i), F.lit(0), lambda a, y: a + F.length(y))
+            start = before + matched
+            return F.struct(value.alias("value"), start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("end"))
 
-    return F.when(text.rlike(regex), F.transform(found, span)).otherwise(F.array().cast(SPANS))
+        return F.transform(x["m"], span)
+
+    # bound to a lambda's variable, matches and gaps are computed once a text, not once a match
+    return F.when(text.rlike(regex), F.element_at(F.transform(F.array(both), places), 1)).otherwise(F.array().cast(SPANS))
 
 
 def window(text: Column, start: Column, end: Column) -> Column:

@@ -83,7 +83,7 @@ def entity(spans_sql: str, holds: str, key: str, demo: bool = True) -> str:
     test = f"({holds})" + (f" AND {not_demo()}" if demo else "")
     return (
         f"WITH c AS {TEXTS}, f AS (SELECT content_id, len(list_distinct(list_transform(list_filter(sp, lambda x: {test}), lambda x: {key}))) AS n "
-        f"FROM (SELECT content_id, low, {spans_sql} AS sp FROM c)) SELECT content_id, n::INT AS n FROM f WHERE n > 0"
+        f"FROM (SELECT content_id, low, {spans_sql} AS sp FROM c)) SELECT content_id, n::INT AS n FROM f"
     )
 
 

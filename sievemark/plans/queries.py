@@ -41,10 +41,10 @@ def contents(spark, d: str) -> DataFrame:
 def entity(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         keys = D.entity_keys(F.col("t"), F.col("low"), name)
-        return contents(spark, d).select("content_id", F.size(keys).alias("n")).where("n > 0")
+        return contents(spark, d).select("content_id", F.size(keys).alias("n"))
 
     run.__name__ = f"{name}_counts"
-    run.__doc__ = f"Distinct values of {name} in every file text that holds one."
+    run.__doc__ = f"Distinct values of {name} in every file text."
     return run
 
 
@@ -55,22 +55,22 @@ for _e in D.ENTITIES:
 @query
 def fio_counts(spark, d):
     """Distinct names in every file text."""
-    return contents(spark, d).select("content_id", F.size(D.full_names(F.col("t"), F.col("low"))).alias("n")).where("n > 0")
+    return contents(spark, d).select("content_id", F.size(D.full_names(F.col("t"), F.col("low"))).alias("n"))
 
 
 @query
 def birth_date_counts(spark, d):
-    return contents(spark, d).select("content_id", F.size(D.birth_dates(F.col("t"), F.col("low"), YEAR)).alias("n")).where("n > 0")
+    return contents(spark, d).select("content_id", F.size(D.birth_dates(F.col("t"), F.col("low"), YEAR)).alias("n"))
 
 
 @query
 def birth_place_counts(spark, d):
-    return contents(spark, d).select("content_id", F.size(D.birth_places(F.col("t"))).alias("n")).where("n > 0")
+    return contents(spark, d).select("content_id", F.size(D.birth_places(F.col("t"))).alias("n"))
 
 
 @query
 def address_counts(spark, d):
-    return contents(spark, d).select("content_id", F.size(D.addresses(F.col("t"))).alias("n")).where("n > 0")
+    return contents(spark, d).select("content_id", F.size(D.addresses(F.col("t"))).alias("n"))
 
 
 @query
