@@ -33,9 +33,15 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input comes in fewer partitions than there are cores, as one small file does; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def contents(spark, d: str) -> DataFrame:
     """File texts, with the text in lower case beside."""
-    return table(spark, d, "extracted_content").select("content_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("low", F.lower("t"))
+    return spread(table(spark, d, "extracted_content").select("content_id", F.coalesce("text", F.lit("")).alias("t"))).withColumn("low", F.lower("t"))
 
 
 def entity(name: str):
@@ -106,7 +112,7 @@ def topk_chunks(spark, d):
 
 
 def _profile(spark, d, gated: bool) -> DataFrame:
-    rows = D.analyze(table(spark, d, "extracted_content").select("content_id", "text"), gated=gated, this_year=YEAR)
+    rows = D.analyze(spread(table(spark, d, "extracted_content").select("content_id", "text")), gated=gated, this_year=YEAR)
     return rows.select("content_id", *[F.col(f"categories.`{c}`").alias(a) for c, a in zip(vocab.DOC_CATEGORIES, ("common", "state", "pay", "bio", "special"))], "uz", "findings_count", F.array_join("recommendations", " ").alias("advice"))
 
 
@@ -125,7 +131,7 @@ def document_profile_ungated(spark, d):
 def uz_level(spark, d):
     """Level of every document by its mailboxes and keywords."""
     low = F.lower("t")
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    docs = spread(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")))
     common = F.size(D.entity_keys(F.col("t"), low, "email"))
     words = C.keyword_counts(low)
     c = C.add(C.counts(обычные=common), words)
@@ -220,7 +226,7 @@ def span_offsets(spark, d):
 
 
 def _chunks(spark, d) -> DataFrame:
-    return table(spark, d, "text_chunk").select("path", "chunk_seq", "text", "source", "field_name")
+    return spread(table(spark, d, "text_chunk").select("path", "chunk_seq", "text", "source", "field_name"))
 
 
 @query
