@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 CLASSES = 2048
 _PLAIN = 1536  # code points below this have a class of their own
 #: A pair scores its information beyond the corpus mean plus this many nats.
@@ -472,4 +474,4 @@ def garbled(texts: DataFrame, counts: tuple[np.ndarray, np.ndarray] | None = Non
                 yield pa.RecordBatch.from_arrays(cols, names=["rec_table", "rec_id"] + ["restored"] * with_text)
 
     rows = texts.select("rec_table", "rec_id", "text").where(F.col("text").isNotNull())
-    return rows.mapInArrow(run, "rec_table string, rec_id long" + ", restored string" * with_text)
+    return spread(rows).mapInArrow(run, "rec_table string, rec_id long" + ", restored string" * with_text)

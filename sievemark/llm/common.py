@@ -47,10 +47,10 @@ def with_extractor(contents: DataFrame, scans: DataFrame, extractors: Sequence[s
     return contents.select("content_id", "path", "text").where(F.col("text").isNotNull()).join(wanted, "path", "left_semi")
 
 
-def spread(df: DataFrame, *key: str) -> DataFrame:
-    """Even out rows over the session's shuffle partitions before heavy per-row work."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *key)
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input comes in fewer partitions than there are cores, as one small file does; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
@@ -72,4 +72,4 @@ def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
                     schema=arrow,
                 )
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pii_table
+from .common import spread
 
 KINDS = ("email", "phone", "id_number", "address", "person_name")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -543,7 +544,7 @@ def personal_information(texts: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1], pa.int64()), pa.array(out[2]), pa.array(out[3])], names=["rec_table", "rec_id", "kind", "value"])
 
     rows = texts.select("rec_table", "rec_id", "text").where(F.col("text").isNotNull())
-    return rows.mapInArrow(run, "rec_table string, rec_id long, kind string, value string")
+    return spread(rows).mapInArrow(run, "rec_table string, rec_id long, kind string, value string")
 
 
 def redacted(texts: DataFrame) -> DataFrame:
@@ -559,4 +560,4 @@ def redacted(texts: DataFrame) -> DataFrame:
                 out += [redact(t, f) if t else t for t, f in zip(rows[a:b], find_all(rows[a:b], field))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["rec_table", "rec_id", "text"])
 
-    return texts.select("rec_table", "rec_id", "text").mapInArrow(run, "rec_table string, rec_id long, text string")
+    return spread(texts.select("rec_table", "rec_id", "text")).mapInArrow(run, "rec_table string, rec_id long, text string")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 # fixed values: the pre-splitting pattern of the public vocabulary
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG_TEXT = 100_000
@@ -96,4 +98,4 @@ def token_ids(docs: DataFrame, rank_file: str | None = None, id_col: str = "doc_
             flat = np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text")).mapInArrow(run, f"{id_col} long, ids array<int>")
+    return spread(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"))).mapInArrow(run, f"{id_col} long, ids array<int>")
