@@ -214,22 +214,22 @@ def features(text: str, commons: Commons) -> tuple[list[int], list[str], np.ndar
     first_prose = next((j for j in range(n) if ends[j] and share[j] <= -2.2 and len(lines[j]) > 60), -1)
     last_prose = next((j for j in range(n - 1, -1, -1) if ends[j] and share[j] <= -2.2 and len(lines[j]) > 60), -1)
     head_set = set(heads)
+    of_block = [(len(b), sum(len(lines[i]) for i in b) / len(b), sum(ends[i] for i in b) / len(b), max(share[i] for i in b)) for b in blocks]
     for j, v in enumerate(lines):
         parts = [p for p in _ITEMS.split(keys[j]) if p] or [keys[j]]
-        own = blocks[block[j]]
-        size = len(own)
+        size, mean_length, prose_share, most_common = of_block[block[j]]
         x[j] = (
             math.log1p(len(v)), len(v.split()), ends[j], v[-1] in ";:", v[:1].islower(), bool(_BULLET.match(v)), v.count(" | "), len(parts),
             len(re.findall(r"[.!?…]\s+[А-ЯЁA-Z]", v)), sum(c.isdigit() for c in v) / len(v), share[j],
             share[j - 1] if j else 0, share[j + 1] if j + 1 < n else 0, j / n, v in tails,
             ends[j - 1] if j else 0, ends[j + 1] if j + 1 < n else 0, ends[j + 2] if j + 2 < n else 0, ends[j - 2] if j > 1 else 0,
-            size, sum(len(lines[i]) for i in own) / size, sum(ends[i] for i in own) / size,
+            size, mean_length, prose_share,
             min(20, j - last_common), min(20, next_common[j]), np.clip(j - title, -20, 20) if title >= 0 else -30,
             " — " in v, ": " in v, math.log10(commons.share(commons.openings, opening(v)) + 1e-4),
             sum(commons.share(commons.items, p) > 0.02 for p in parts) / len(parts), max(math.log10(commons.share(commons.items, p) + 1e-4) for p in parts),
             commons.prose.get(keys[j], -1), commons.places.get(keys[j], -1), min(20, j - last_head) if last_head >= 0 else 25, j in head_set,
             j - first_prose if first_prose >= 0 else -40, j - last_prose if last_prose >= 0 else 40,
-            max((share[i] for i in own), default=0), v[:1].isupper(), title >= 0, len(lines[j + 1]) if j + 1 < n else 0,
+            most_common, v[:1].isupper(), title >= 0, len(lines[j + 1]) if j + 1 < n else 0,
         )
         if j in head_set:
             last_head = j

@@ -541,7 +541,7 @@ def personal_information(texts: DataFrame) -> DataFrame:
                         for col, v in zip(out, (tables[r], ids[r], kind, value)):
                             col.append(v)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1], pa.int64()), pa.array(out[2]), pa.array(out[3])], names=["rec_table", "rec_id", "kind", "value"])
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["rec_table", "rec_id", "kind", "value"])
 
     rows = texts.select("rec_table", "rec_id", "text").where(F.col("text").isNotNull())
     return spread(rows).mapInArrow(run, "rec_table string, rec_id long, kind string, value string")

@@ -68,6 +68,10 @@ ENDING = frozenset(
 _BEFORE_ORDINAL = frozenset("am im zum vom beim der die das den dem des bis ab seit ein eine einen einem einer jede jeder jedes jeden".split())
 _MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 
+#: So far back a word before a full stop is looked for.
+_BACK = 100
+#: Pairs nested deeper were never closed; the outermost are given up.
+_DEPTH = 8
 _WORD_BEFORE = re.compile(r"[^\s(\[{«“„\"'‘「『]*$")
 _LAST_WORD = re.compile(r"([^\s]+)\s*$")
 
@@ -98,6 +102,7 @@ class _Paragraph:
         self.thai = thai
         self.starts: list[int] = []
         self.start = _SKIP.match(text).end()
+        self.closes: dict[int, int] = {}  # where the pair opened at a place is closed, or -1
         self.open: list[tuple[str, int]] = []  # open quotations and brackets: the closing mark and the place of the opening one
 
     def cut(self, at: int) -> None:
@@ -132,10 +137,9 @@ class _Paragraph:
     def _quote(self, mark: str, at: int) -> None:
         if self.open and self.open[-1][0] == mark:
             self.open.pop()
-        elif mark == '"':
-            self.open.append(('"', at))
-        elif mark in _PAIRS:
-            self.open.append((_PAIRS[mark], at))
+        elif mark == '"' or mark in _PAIRS:
+            self.open.append((_PAIRS.get(mark, mark), at))
+            del self.open[:-_DEPTH]
         else:
             for k in range(len(self.open) - 1, -1, -1):
                 if self.open[k][0] == mark:
@@ -162,10 +166,9 @@ class _Paragraph:
         """Is the terminator inside a quotation or bracket that is set in a longer sentence?"""
         text = self.text
         for closer, at in self.open:
-            to = text.find(closer, at + 1)
-            if to < 0:
-                continue
-            to = text.find(closer, max(at + 1, self._now))
+            to = self.closes.get(at)
+            if to is None or 0 <= to < self._now:
+                to = self.closes[at] = text.find(closer, max(at + 1, self._now))
             if to < 0:
                 continue
             if at > self.start and not self._only_opening(self.start, at):
@@ -178,7 +181,7 @@ class _Paragraph:
         return False
 
     def _only_opening(self, a: int, b: int) -> bool:
-        return all(c in _PAIRS or c.isspace() or c == '"' for c in self.text[a:b])
+        return b - a < 20 and all(c in _PAIRS or c.isspace() or c == '"' for c in self.text[a:b])
 
     def _mark(self, m: re.Match) -> int:
         text, at, mark = self.text, m.start(), m.group()
@@ -228,7 +231,7 @@ class _Paragraph:
             return False
         if _caseless(nxt):
             return bool(any(c in _STERM for c in mark)) or bool(end > at + 1) or text[at - 1 : at].isalpha()
-        word = _WORD_BEFORE.search(text, self.start, at).group()
+        word = _WORD_BEFORE.search(text, max(self.start, at - _BACK), at).group()
         if "@" in word or "/" in word or word.lower().startswith("www"):
             return False
         prev = text[at - 1 : at]
@@ -242,13 +245,14 @@ class _Paragraph:
     def _abbreviation(self, at: int, after: int) -> bool:
         """Does the full stop at ``at`` belong to an abbreviation, initial or number that does not end here?"""
         text = self.text
-        word = _WORD_BEFORE.search(text, self.start, at).group().strip("*_,;:-–—•")
+        word = _WORD_BEFORE.search(text, max(self.start, at - _BACK), at).group().strip("*_,;:-–—•")
         low = word.lower()
         nxt = text[after]
-        before = text[self.start : at - len(word)].rstrip() if word else text[self.start : at]
         if not word:
             return False
-        opening = not before.strip("-–—•*«“\"( ")
+        lo = max(self.start, at - _BACK)
+        before = text[lo : at - len(word)].rstrip()
+        opening = lo == self.start and not before.strip("-–—•*«“\"( ")
         if low.isdigit() or re.fullmatch(r"\d+(?:\.\d+)*|[ivxlc]+", low):
             if opening:
                 return True  # number of a list or heading
