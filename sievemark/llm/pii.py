@@ -441,8 +441,14 @@ def checked(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         return (a, b) if len(digits) in (10, 11, 12) and re.fullmatch(r"[\d\s№\-‑–   ]+", value) else None
     if kind == "address":
         return _address(text, a, b)
-    words = re.findall(r"[^\W\d_]+", value)
-    if len(words) < 2 or digits or len(words) > 4 or "|" in value or not re.fullmatch(r"[А-ЯЁа-яёA-Za-z.\s\-'’]+", value):
+    # a second initial belongs to the first
+    if len(re.findall(r"\b[A-ZА-ЯЁ]\.", value)) == 1:
+        if value[-1] == "." and (m := re.match(r"\s?[A-ZА-ЯЁ]\.(?!\w)", text[b : b + 4])):
+            b += m.end()
+        elif value[1:2] == "." and (m := re.search(r"(?<!\w)[A-ZА-ЯЁ]\.\s?$", text[max(0, a - 3) : a])):
+            a -= len(m.group())
+    words = re.findall(r"[^\W\d_]+", text[a:b])
+    if len(words) < 2 or digits or len(words) > 4 or not re.fullmatch(r"[А-ЯЁа-яёA-Za-z.\s\-'’]+", text[a:b]):
         return None
     full = [w for w in words if len(w) > 1]
     if not full or (len(full) == 1 and len(full[0]) < 3):
