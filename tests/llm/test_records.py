@@ -30,7 +30,7 @@ def test_headings(spark):
 def test_headings_against_all_pairs(spark):
     """The filters lose nothing: the same result as comparing every form with every entry."""
     r = random.Random(1)
-    entries = [(i, names.latin("".join(names.words_of(n)))) for i, l, _, a in REF for n in [l, *(a or [])]]
+    entries = [(i, "".join(map(names.latin, names.words_of(n)))) for i, l, _, a in REF for n in [l, *(a or [])]]
     typed = []
     for _, e, _, _ in REF * 12:
         s = list(e)
