@@ -343,6 +343,28 @@ def _units(text: str, a: int, b: int):
     return dict.fromkeys([*units, (x, y), (a, b)])
 
 
+_RARE_CYRILLIC = re.compile("[Ѐ-Џѐѓ-џҐґ]")
+
+
+def _explains(text: str, fix: tuple[int, int, str], chain: Chain, runs: list[list[int]], fixes: list[tuple[int, int, str]]) -> bool:
+    """A mapping that changes but a few signs must explain all that is odd in its line: another language's letters fit here and there by chance."""
+    a, b, out = fix
+    if len(out) != b - a:
+        return True
+    changed = sum(x != y for x, y in zip(text[a:b], out))
+    if changed >= max(4, 0.6 * sum(c.isalpha() for c in text[a:b])):
+        return True
+    left, right = text.rfind("\n", 0, a) + 1, text.find("\n", b)
+    right = right if right >= 0 else len(text)
+    for x, y in runs:
+        if x < left or y > right or any(p <= x and y <= q for p, q, _ in fixes):
+            continue
+        other = apply(text[x:y], chain)
+        if (other is not None and other != text[x:y]) or (other is None and _RARE_CYRILLIC.search(text[x:y])):
+            return False
+    return True
+
+
 def restore(text: str, scores: np.ndarray, model: Model, gap: int = 40) -> tuple[bool, str]:
     """Is the text affected, and what it says with all runs restored that can be.
 
@@ -360,6 +382,7 @@ def restore(text: str, scores: np.ndarray, model: Model, gap: int = 40) -> tuple
     if not runs:
         return False, text
     fixes: list[tuple[int, int, str]] = []
+    chains_of: dict[int, Chain] = {}
     for n, (a, b) in enumerate(runs):
         if fixes and a < fixes[-1][1]:
             continue
@@ -381,6 +404,8 @@ def restore(text: str, scores: np.ndarray, model: Model, gap: int = 40) -> tuple
                 break
         if found and (not fixes or found[0] >= fixes[-1][1]):
             fixes.append(found)
+            chains_of[found[0]] = chain
+    fixes = [f for f in fixes if _explains(text, f, chains_of[f[0]], runs, fixes)]
     at, parts = 0, []
     for a, b, out in fixes:
         parts += [text[at:a], out]

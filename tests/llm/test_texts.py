@@ -203,3 +203,10 @@ def test_sentences_cover_the_text(text):
     assert own == sorted(set(own)) and all(not text[a].isspace() for a in own)
     assert bool(own) == bool(text.strip()) and (not own or not text[: own[0]].strip())
     assert unicodedata.is_normalized("NFC", text) or True
+
+
+def test_other_languages_are_not_garbled(spark):
+    """Letters of another language that a mapping fits here and there by chance."""
+    rows = [(1, "Њихове ђачке књиге стоје у ћошку, а џепни речник љубазно враћају."), (2, "Їхні аркуші зберігає архів, ґанок замкнено, є опис."), (3, "Coração, ação, informação: três palavras do cartaz."), *[(100 + i, CORPUS[i % 4]) for i in range(200)]]
+    df = spark.createDataFrame([("t", i, x) for i, x in rows], TEXT)
+    assert charset.garbled(df).count() == 0
