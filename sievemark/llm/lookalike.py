@@ -59,13 +59,13 @@ def _several_forms(texts: DataFrame) -> DataFrame:
     keyed = (
         texts.select("rec_table", "rec_id", "text")
         .where(F.col("text").isNotNull())
-        .withColumn("shape", shape(F.col("text")))
-        .where(F.col("shape").rlike(r"\S"))
-        .withColumn("h", coarse(F.col("shape")))
+        .where(shape(F.col("text")).rlike(r"\S"))
+        .withColumn("h", coarse(shape(F.col("text"))))
     )
     stored = F.xxhash64("text")
     groups = keyed.groupBy("rec_table", "h").agg(F.min(stored).alias("a"), F.max(stored).alias("b")).where("a <> b").select("rec_table", "h")
-    return keyed.join(groups, ["rec_table", "h"], "left_semi").select("rec_table", "rec_id", "text", "shape")
+    # the shape is made anew behind the join, so that a text travels once and not in two forms
+    return keyed.join(groups, ["rec_table", "h"], "left_semi").select("rec_table", "rec_id", "text", shape(F.col("text")).alias("shape"))
 
 
 def classes(texts: DataFrame, leave_out=None) -> DataFrame:
