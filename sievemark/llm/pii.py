@@ -31,6 +31,8 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW = 3
 #: Texts are decoded in pieces of at most so many tokens, cut behind a sentence or at an empty line.
 PIECE = 400
+#: Beyond so many kinds of token the summed weights are dropped between two calls.
+KEPT_ROWS = 150_000
 
 _GAP = "[ \u00a0\u2007\u2009\u202f]"
 _AT = rf"(?:{_GAP}?@{_GAP}?|{_GAP}?[(\[{{]{_GAP}?(?:at|собака|эт)\b{_GAP}?[)\]}}]{_GAP}?|{_GAP}(?:at|собака){_GAP})"
@@ -183,12 +185,16 @@ class Field:
         self.index: dict[str, int] = {}
         self.rows = np.zeros((1024, 2 * WINDOW + 1, len(LABELS)), np.float32)
 
+    def fresh(self) -> None:
+        """Drop a large index; only before the first place of a call is taken, as places are read at its end."""
+        if len(self.index) > KEPT_ROWS:
+            self.index.clear()
+            self.rows = np.zeros((1024, *self.rows.shape[1:]), np.float32)
+
     def row(self, key: str) -> int:
         """The place of a token kind's summed weights."""
         if (i := self.index.get(key)) is not None:
             return i
-        if len(self.index) > 150_000:
-            self.index.clear()
         i = len(self.index)
         if i >= len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
@@ -368,6 +374,7 @@ def pieces(text: str, ends: list[int], flags: list[int]) -> list[int]:
 def find_all(texts: Iterable[str | None], field: Field) -> list[list[tuple[int, int, str]]]:
     """``(start, end, kind)`` of the pieces of personal information in each text."""
     texts = list(texts)
+    field.fresh()
     row_tokens, places, flags_all, ends_all = [], [], [], [0]
     for text in texts:
         if not text or text.isspace():
