@@ -3,7 +3,8 @@
 Texts become tokens (words, groups of digits, mailboxes, marks); each token has
 word-shape features, seen in a window of three tokens to either side.  The
 field is trained on a small labelled table (``pii_table``) by its likelihood
-and decoded by Viterbi, many texts at once in numpy.  Weights of a window are
+and decoded by Viterbi, many texts at once in numpy, whole
+texts and not only the surroundings of likely places.  Weights of a window are
 summed once per kind of token, so a text costs a look-up a token.  Spans pass
 an exact check of their kind, then become values or typed placeholders.
 
@@ -42,13 +43,6 @@ _NUMBER = rf"\+?\(?\d+(?:(?:\){_GAP}?|{_GAP}?\(|[\-‑–./  ]|{_GAP}|{_GAP}?№
 _TOKEN = re.compile(rf"([A-ZА-ЯЁ]\.)|([^\W\d_]+(?:[\-‑'’][^\W\d_]+)*)|({_NUMBER})|(\S)")
 _MAILBOX = re.compile(_EMAIL, re.I)
 _AT_HINT = re.compile(r"@|[(\[{] ?(?:at|собака|эт)\b| (?:at|собака) \S+(?: (?:dot|точка) |\.[a-z])", re.I)
-#: What every kind needs by its exact check: ten digits, a mailbox's sign, a house number in its usual place, an initial, two capitals in a row, or a patronymic.
-_HINT = re.compile(
-    r"\d(?:[()№./\s\-‑–]{0,3}\d){9}|@|[(\[{] ?(?:at|собака|эт)\b|(?:at|собака) \S|,\s?\d|(?:д\.|дом|[уУ]л\.),?\s?\d|\d[A-Z]?\s[A-Z][a-z]"
-    r"|[A-ZА-ЯЁ](?:\.|[\w\-]*\s+[A-ZА-ЯЁ\d])|(?:ович|евич|овн[аеуы]|овной|евн[аеуы]|евной)\b"
-)
-#: So many characters around a hint are decoded.
-AROUND = 60
 _INITIAL = re.compile(r"[A-ZА-ЯЁ]\.")
 _DIGIT_RUN = re.compile(r"\d")
 
@@ -69,18 +63,17 @@ def first_name(word: str) -> bool:
     return any(low[: len(low) - cut] in _FIRST for cut in range(0, 4) if len(low) - cut >= 2)
 
 
-def tokens(text: str, lo: int = 0, hi: int | None = None) -> tuple[list[str], list[int], list[int], list[int]]:
+def tokens(text: str) -> tuple[list[str], list[int], list[int], list[int]]:
     """Keys, starts, ends and flags (1 first of a line, 2 no blank before, 4 behind an empty line) of a text's tokens."""
-    hi = len(text) if hi is None else hi
     keys, starts, ends, flags = [], [], [], []
-    mailboxes = [m.span() for m in _MAILBOX.finditer(text, lo, hi)] if _AT_HINT.search(text, lo, hi) else []
-    last = lo
+    mailboxes = [m.span() for m in _MAILBOX.finditer(text)] if _AT_HINT.search(text) else []
+    last = 0
 
     def add(key: str, a: int, b: int) -> None:
         nonlocal last
         flag = 0
         if a == last:
-            flag = 2 if a > lo else 1 if a == 0 or text[a - 1] == "\n" else 0
+            flag = 2 if a else 1
         elif a - last > 1 or text[last] == "\n":
             feeds = text.count("\n", last, a)
             flag = (1 if feeds else 0) | (4 if feeds > 1 else 0)
@@ -90,7 +83,7 @@ def tokens(text: str, lo: int = 0, hi: int | None = None) -> tuple[list[str], li
         flags.append(flag)
         last = b
 
-    for a, b in [*mailboxes, (hi, hi)]:
+    for a, b in [*mailboxes, (len(text), len(text))]:
         for m in _TOKEN.finditer(text, last, a):
             add(_number_key(m.group()) if m.lastindex == 3 else m.group(), *m.span())
         if a < b:
@@ -98,27 +91,6 @@ def tokens(text: str, lo: int = 0, hi: int | None = None) -> tuple[list[str], li
     return keys, starts, ends, flags
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches around hints, of whole words; outside of them nothing of any kind can be."""
-    out: list[list[int]] = []
-    for m in _HINT.finditer(text):
-        a, b = m.start() - AROUND, m.end() + AROUND
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    n = len(text)
-    whole = []
-    for a, b in out:
-        a = 0 if a <= 0 else text.rfind(" ", 0, a) + 1
-        b = n if b >= n else (text.find(" ", b) if text.find(" ", b) >= 0 else n)
-        if whole and a < whole[-1][1]:
-            whole[-1] = (whole[-1][0], b)
-        else:
-            whole.append((a, b))
-    return whole
-
-
 def _number_key(text: str) -> str:
     digits = re.sub(r"\D", "", text)
     shape = re.sub(_GAP + r"|\n", " ", _DIGIT_RUN.sub("9", text)).replace("\u2011", "-")
@@ -380,21 +352,13 @@ def find_all(texts: Iterable[str | None], field: Field) -> list[list[tuple[int,
         if not text or text.isspace():
             row_tokens.append(None)
             continue
-        all_starts: list[int] = []
-        all_ends: list[int] = []
-        first = len(places)
-        for lo, hi in windows(text):
-            keys, starts, ends, flags = tokens(text, lo, hi)
-            if not keys:
-                continue
-            base = len(places)
-            cuts = pieces(text, ends, flags)
-            places += [field.row(k) for k in keys]
-            flags_all += flags
-            ends_all += [base + c for c in cuts]
-            all_starts += starts
-            all_ends += ends
-        row_tokens.append((first, all_starts, all_ends))
+        keys, starts, ends, flags = tokens(text)
+        base = len(places)
+        cuts = pieces(text, ends, flags)
+        places += [field.row(k) for k in keys]
+        flags_all += flags
+        ends_all += [base + c for c in cuts]
+        row_tokens.append((base, starts, ends))
     if not places:
         return [[] for _ in texts]
     edges = np.array(ends_all)

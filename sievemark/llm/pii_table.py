@@ -101,8 +101,10 @@ def name(r: random.Random, case: int | None = None) -> str:
         out = r.choice((f"{sur} {fst_n[0]}.", f"{fst_n[0]}. {sur}"))
     else:
         a, b = latin(fst_n), latin(base + ("а" if female else ""))
-        return r.choice((f"{a} {b}", f"{a} {b}", f"{b} {a}"))
-    return out.upper() if r.random() < 0.12 else out
+        out = r.choice((f"{a} {b}", f"{a} {b}", f"{b} {a}"))
+        return out.lower() if r.random() < 0.1 else out
+    k = r.random()
+    return out.upper() if k < 0.12 else out.lower() if k < 0.24 and "." not in out else out
 
 
 def phone(r: random.Random) -> str:

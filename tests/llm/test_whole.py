@@ -21,3 +21,18 @@ def test_field_keeps_its_rows_within_a_call():
     assert pii.find_all([text, filler], own) == expected
     own.index |= {f"##{i}": i for i in range(200_000)}
     assert pii.find_all([text, filler], own) == expected and len(own.index) < 1000
+
+
+def test_names_in_lower_case():
+    field = pii.train()
+    texts = {
+        "подписано по доверенности от имени иванова петра сергеевича и передано в архив": "иванова петра сергеевича",
+        "заявление подал илья ильич обломов вчера вечером": "илья ильич обломов",
+        "справку выдали иванову ивану ивановичу": "иванову ивану ивановичу",
+        "письмо передано анне никитичне павловой по почте": "анне никитичне павловой",
+        "обратилась анна петрова по поводу справки": "анна петрова",
+    }
+    for text, found in zip(texts, pii.find_all(texts, field)):
+        assert [text[a:b] for a, b, kind in found if kind == "person_name"] == [texts[text]]
+    for text in ("в романе вера и надежда спорят о мире", "вера в победу и любовь к делу"):
+        assert pii.find_all([text], field) == [[]]
