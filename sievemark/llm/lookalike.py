@@ -17,6 +17,10 @@ repeated rows take part each.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,25 +37,86 @@ SHAPES = dict(
 ) | dict(
     zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧΓΠΦονρϲϳ", "ABEZHIKMNOPTYXГПФovpcj")
 )
-# fixed values: accented letters as their plain ones, for the coarse hash only
-_PLAIN = dict(zip("ЙйЎўЄєËÏÄÖÈĂĔëïäöèăĕÜüÉéÀàÂâÇçÊêÎîÔôÛûÙùÑñÃãÕõÅåÁáÍíÓóÚú", "ИиYyЄєEIAOEAEeiaoeaeUuEeAaAaCcEeIiOoUuUuNnAaOoAaAaIiOoUu"))
 
 
-def shape(text: Column) -> Column:
-    """The text with characters of the same look made one; accents as stored."""
+@lru_cache(maxsize=1)
+def _shaped() -> tuple[dict[str, str], dict[str, str]]:
+    """Composed letters whose base has the shape of another letter: with a composed form of that letter, and with none (base and marks)."""
+    one, several = {}, {}
+    for c, (base, *marks) in _decompositions().items():
+        if base in SHAPES and c not in SHAPES:
+            to = unicodedata.normalize("NFC", SHAPES[base] + "".join(marks))
+            if len(to) == 1:
+                one[c] = to
+            else:
+                several[c] = unicodedata.normalize("NFD", to)
+    return one, several
+
+
+@lru_cache(maxsize=1)
+def _decompositions() -> dict[str, str]:
+    """Every character with a canonical decomposition, with it; bounded by the Unicode table."""
+    chars = (chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    return {c: d for c in chars if (d := unicodedata.normalize("NFD", c)) != c}
+
+
+@lru_cache(maxsize=1)
+def _plain() -> tuple[dict[str, str], dict[str, str], str]:
+    """For the coarse hash: composed characters as their plain ones, Hangul syllables as their first letters, and what is left out."""
+    whole = _decompositions()
+    out = {x for d in whole.values() for x in d[1:]}
+    out |= {chr(c) for c in range(0x110000) if unicodedata.combining(chr(c)) or unicodedata.category(chr(c)) in ("Mn", "Me", "Cf")}
+    first = {c: "" if d[0] in out else d[0] for c, d in whole.items()}
+    out |= {c for c, d in first.items() if not d}
+    syllables = {c: d for c, d in first.items() if d and "\uac00" <= c <= "\ud7a3"}
+    return {c: d for c, d in first.items() if d and c not in syllables and c not in out}, syllables, "".join(sorted(out))
+
+
+#: Characters of most texts; a text of these alone needs only their part of the coarse map, with the same result.
+_USUAL = "\\x00-\\xffА-яЁё‐-‧‰-›№"
+
+
+def _class(chars) -> str:
+    """A class of few ranges that holds at least ``chars``, quick to look for."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if ranges and c - ranges[-1][1] < 64:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+def _mapped(text: Column) -> Column:
+    """The shape but for letters whose base has a Latin shape while they have no composed Latin form."""
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
     narrow = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
-    source = "".join(SHAPES) + BLANKS + HYPHENS + wide + INVISIBLE
-    target = "".join(SHAPES.values()) + " " * len(BLANKS) + "-" * len(HYPHENS) + narrow
-    mapped = F.translate(text, source, target)
-    # composed letters whose base has a Latin shape, but which have no Latin form of their own
-    return F.replace(F.replace(mapped, F.lit("ў"), F.lit("y̆")), F.lit("Ў"), F.lit("Y̆"))
+    one = _shaped()[0]
+    source = "".join(SHAPES) + "".join(one) + BLANKS + HYPHENS + wide + INVISIBLE
+    target = "".join(SHAPES.values()) + "".join(one.values()) + " " * len(BLANKS) + "-" * len(HYPHENS) + narrow
+    return F.translate(text, source, target)
+
+
+def shape(text: Column) -> Column:
+    """The text with characters of the same look made one; accents as stored."""
+    several, by_marks = _shaped()[1], {}
+    for c, to in several.items():
+        by_marks.setdefault(to[1:], []).append(c)
+    parted = _mapped(text)
+    for marks, letters in by_marks.items():  # the marks are set behind, then the base is exchanged
+        parted = F.regexp_replace(parted, f"([{''.join(letters)}])", f"$1{marks}")
+    parted = F.translate(parted, "".join(several), "".join(to[0] for to in several.values()))
+    return F.when(text.rlike(_class(several)), parted).otherwise(_mapped(text))
 
 
-def coarse(shaped: Column) -> Column:
+def coarse(text: Column) -> Column:
     """A hash that equal-looking texts share: of the shape, without accents."""
-    marks = "".join(chr(c) for c in range(0x300, 0x370))
-    return F.xxhash64(F.translate(shaped, "".join(_PLAIN) + marks, "".join(_PLAIN.values())))
+    plain, syllables, out = _plain()
+    few = {c: d for c, d in plain.items() if re.match(f"[{_USUAL}]", c) or c in SHAPES.values()}
+    usual = F.translate(_mapped(text), "".join(few), "".join(few.values()))
+    bare = F.translate(shape(text), "".join(plain) + out, "".join(plain.values()))
+    korean = F.translate(bare, "".join(syllables), "".join(syllables.values()))
+    return F.xxhash64(F.when(~text.rlike(f"[^{_USUAL}]"), usual).when(text.rlike("[\uac00-\ud7a3]"), korean).otherwise(bare))
 
 
 def _several_forms(texts: DataFrame) -> DataFrame:
@@ -59,8 +124,8 @@ def _several_forms(texts: DataFrame) -> DataFrame:
     keyed = (
         texts.select("rec_table", "rec_id", "text")
         .where(F.col("text").isNotNull())
-        .where(shape(F.col("text")).rlike(r"\S"))
-        .withColumn("h", coarse(shape(F.col("text"))))
+        .where(_mapped(F.col("text")).rlike(r"\S"))
+        .withColumn("h", coarse(F.col("text")))
     )
     stored = F.xxhash64("text")
     groups = keyed.groupBy("rec_table", "h").agg(F.min(stored).alias("a"), F.max(stored).alias("b")).where("a <> b").select("rec_table", "h")

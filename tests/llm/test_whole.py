@@ -1,8 +1,23 @@
 """Results that must not depend on the size, the order or the rarity of the input."""
 
+import unicodedata
+
 import numpy as np
 
-from sievemark.llm import pii
+from sievemark.llm import lookalike, pii
+
+# --- problem 1 ---------------------------------------------------------------
+
+
+def test_every_composed_letter_meets_its_parts(spark):
+    words = ["čeština", "žluť", "ěšř", "ňć", "źő", "ąę", "ğş", "ÿì", "ѓоѓ", "ќаќ", "Ќош", "Ўлад", "ӯз", "Ӳз", "tiếng Việt", "한국어", "ガギ", "क़लम", "βό", "Ἀρχή", "কো"]
+    rows = [(2 * i + k, unicodedata.normalize(form, w)) for i, w in enumerate(words) for k, form in enumerate(("NFC", "NFD"))]
+    look = {i: t for i, t in rows}
+    expected = {(i, i + 1) for i in range(0, len(rows), 2) if look[i] != look[i + 1]}
+    rows += [(900, "cestina"), (901, "한국아"), (902, "カキ")]
+    df = spark.createDataFrame([("t", i, t) for i, t in rows], "rec_table string, rec_id long, text string")
+    assert len(expected) >= len(words) - 1
+    assert {(r["id_a"], r["id_b"]) for r in lookalike.pairs(lookalike.classes(df)).collect()} == expected
 
 
 # --- problem 7 ---------------------------------------------------------------
