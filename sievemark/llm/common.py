@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import hashlib
+from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,3 +74,45 @@ def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
                 )
 
     return spread(df).mapInArrow(run, schema)
+
+
+class Both:
+    """A small table or set of one row before a large one of all rows."""
+
+    def __init__(self, own, rest):
+        self.own, self.rest = own, rest
+
+    def get(self, key, default=None):
+        value = self.own.get(key)
+        return self.rest.get(key, default) if value is None else value
+
+    def __contains__(self, key) -> bool:
+        return key in self.own or key in self.rest
+
+    def __bool__(self) -> bool:
+        return bool(self.own) or bool(self.rest)
+
+
+def digest(key: str) -> bytes:
+    """What ``unhex(md5(key))`` is in SQL."""
+    return hashlib.md5(key.encode(), usedforsecurity=False).digest()
+
+
+def with_rare(rows: DataFrame, rare: DataFrame, keys: Callable[[str], Iterable[str]]) -> DataFrame:
+    """``rows(content_id, text)`` with ``rare``, a list of those rows of ``rare(d, ...)`` whose digest is of one of the text's keys.
+
+    Keys too rare to be broadcast meet the texts by a hash-partitioned join;
+    ``keys`` leaves out the frequent ones, so no key is hot.
+    """
+
+    def run(cols):
+        out = {"content_id": [], "d": []}
+        for i, text in zip(cols["content_id"], cols["text"]):
+            own = {digest(k) for k in keys(text or "")}
+            out["content_id"] += [i] * len(own)
+            out["d"] += own
+        return out
+
+    own = map_batches(rows.select("content_id", "text"), run, "content_id long, d binary")
+    lists = own.join(rare, "d").groupBy(F.col("content_id").alias("_id")).agg(F.collect_list(F.struct(*rare.columns)).alias("rare"))
+    return rows.join(lists, rows["content_id"].eqNullSafe(lists["_id"]), "left").drop("_id")

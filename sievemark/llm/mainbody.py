@@ -28,10 +28,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import Both, digest, ensure_checkpoint_dir, map_batches, with_rare
 
 SAMPLE = 1500
-#: Lines, items and openings that stand on at least this share of pages are listed; at most ``60 / COMMON`` of each can.
+#: Lines, items and openings that stand on at least this share of pages are broadcast, at most ``60 / COMMON`` of each; rarer ones on two pages or more are joined.
 COMMON = 2e-4
 
 _ITEMS = re.compile(r"\s*[|·•/»>›→]\s*")
@@ -155,6 +155,26 @@ class Commons:
     def share(self, table: dict, k: str) -> float:
         return table.get(k, 0) / max(1, self.pages)
 
+    def rare_keys(self, text: str) -> list[str]:
+        """Keys of a page that are not listed, each behind the letter of its table."""
+        tables = {"l": self.lines, "i": self.items, "o": self.openings}
+        return [t + k for t, k, _, _ in page_stats(text) if k not in tables[t]]
+
+    def of_page(self, text: str, rare: list[dict] | None) -> Commons:
+        """With what was joined for one page."""
+        if not rare:
+            return self
+        by_digest = {r["d"]: r for r in rare}
+        tables: dict[str, dict] = {"l": {}, "i": {}, "o": {}}
+        prose, places = {}, {}
+        for tk in self.rare_keys(text):
+            if (r := by_digest.get(digest(tk))) is not None:
+                tables[tk[0]][tk[1:]] = r["n"]
+                if tk[0] == "l":
+                    prose[tk[1:]], places[tk[1:]] = r["prose"], r["place"]
+        pairs = ((tables["l"], self.lines), (tables["i"], self.items), (tables["o"], self.openings), (prose, self.prose), (places, self.places))
+        return Commons(self.pages, *(Both(*p) for p in pairs))
+
 
 def page_stats(text: str):
     """``(table, key, pages, extra)`` counts of one page, each key once."""
@@ -348,8 +368,8 @@ def decode(odds: np.ndarray, lines: list[str] | None = None, bridge: float = 1.2
     return kept
 
 
-def commons_of(pages: DataFrame, common: float = COMMON) -> Commons:
-    """Counts over all pages; listed are keys on at least ``common`` of them and at least two."""
+def commons_of(pages: DataFrame, common: float = COMMON) -> tuple[Commons, DataFrame | None]:
+    """Counts over all pages: listed are keys on at least ``common`` of them and at least two; and the rest on at least two by digest, None if there can be none."""
 
     def run(cols):
         out = {k: [] for k in ("t", "k", "prose", "place")}
@@ -361,26 +381,32 @@ def commons_of(pages: DataFrame, common: float = COMMON) -> Commons:
 
     rows = pages.select("text").where(F.col("text").isNotNull())
     n = rows.count()
+    least = max(2, math.ceil(common * n))
     stats = (
         map_batches(rows, run, "t string, k string, prose double, place double")
         .groupBy("t", "k")
         .agg(F.count("*").alias("n"), F.avg("prose").alias("prose"), F.avg("place").alias("place"))
-        .where(F.col("n") >= max(2, math.ceil(common * n)))
-        .collect()
+        .where(F.col("n") >= 2)
     )
+    rare = None
+    if least > 2:
+        ensure_checkpoint_dir(pages.sparkSession)
+        stats = stats.checkpoint()
+        rare = stats.where(F.col("n") < least).select(F.unhex(F.md5(F.concat("t", "k"))).alias("d"), "n", "prose", "place")
     tables: dict[str, dict] = {"l": {}, "i": {}, "o": {}}
     prose, places = {}, {}
-    for r in stats:
+    for r in stats.where(F.col("n") >= least).collect():
         tables[r["t"]][r["k"]] = r["n"]
         if r["t"] == "l":
             prose[r["k"]], places[r["k"]] = r["prose"], r["place"]
-    return Commons(n, tables["l"], tables["i"], tables["o"], prose, places)
+    return Commons(n, tables["l"], tables["i"], tables["o"], prose, places), rare
 
 
-def train(sample: list[str], commons: Commons) -> Trees:
+def train(sample: list[str], commons: list[Commons]) -> Trees:
+    """Trees of the sample pages, each with its counts."""
     xs, ys = [], []
-    for text in sample:
-        _, lines, x = features(text, commons)
+    for text, own in zip(sample, commons):
+        _, lines, x = features(text, own)
         if len(lines):
             xs.append(x)
             ys.append(np.array(label(lines), float))
@@ -390,12 +416,23 @@ def train(sample: list[str], commons: Commons) -> Trees:
 _STATE: dict[str, tuple[Commons, Trees]] = {}
 
 
-def keep_lines(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def _with_commons(rows: DataFrame, commons: Commons, rare: DataFrame | None) -> DataFrame:
+    if rare is None:
+        return rows
+    sent = rows.sparkSession.sparkContext.broadcast(commons)
+    return with_rare(rows, rare, lambda text: sent.value.rare_keys(text))
+
+
+def keep_lines(pages: DataFrame, sample: int = SAMPLE, common: float = COMMON) -> DataFrame:
     """``(content_id, line_no from 1)`` of the lines to keep of ``pages(content_id, text)``."""
     rows = pages.select("content_id", "text").where(F.col("text").isNotNull())
-    commons = commons_of(rows)
-    chosen = [r["text"] for r in rows.orderBy(F.xxhash64("content_id"), "content_id").limit(sample).collect()]
-    sent = pages.sparkSession.sparkContext.broadcast((commons, train(chosen, commons)))
+    commons, rare = commons_of(rows, common)
+    chosen = rows.orderBy(F.xxhash64("content_id"), "content_id").limit(sample).collect()
+    if rare is not None:
+        few = pages.sparkSession.createDataFrame(chosen, rows.schema)
+        chosen = _with_commons(few, commons, rare).orderBy(F.xxhash64("content_id"), "content_id").collect()
+    of_chosen = [commons.of_page(r["text"], r["rare"] if rare is not None else None) for r in chosen]
+    sent = pages.sparkSession.sparkContext.broadcast((commons, train([r["text"] for r in chosen], of_chosen)))
     name = uuid.uuid4().hex
 
     def run(cols):
@@ -403,7 +440,8 @@ def keep_lines(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
             _STATE.clear()
             _STATE[name] = sent.value
         own, trees = _STATE[name]
-        parts = [features(t, own) for t in cols["text"]]
+        lists = cols.get("rare") or [None] * len(cols["text"])
+        parts = [features(t, own.of_page(t, r)) for t, r in zip(cols["text"], lists)]
         odds = trees.odds(np.concatenate([p[2] for p in parts])) if parts else np.empty(0)
         out, done = {"content_id": [], "line_no": []}, 0
         for i, (at, lines, x) in zip(cols["content_id"], parts):
@@ -413,4 +451,4 @@ def keep_lines(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
             out["line_no"] += [at[k] + 1 for k in kept]
         return out
 
-    return map_batches(rows, run, "content_id long, line_no int")
+    return map_batches(_with_commons(rows, commons, rare), run, "content_id long, line_no int")

@@ -11,7 +11,8 @@
 
 The word list holds the words of a relative frequency of at least ``RARE``, so
 it has at most ``1 / RARE`` entries however large the corpus; the list of
-header lines is bounded in the same way by ``EDGE_SHARE``.
+header lines is bounded in the same way by ``EDGE_SHARE``, and rarer ones on two
+documents or more are joined to the lines by key.
 
 Defined results: null, empty and blank texts give nothing; repeated rows give
 their lines each; a line is of at most one of the kinds header and page number,
@@ -30,7 +31,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import Both, digest, ensure_checkpoint_dir, map_batches, with_rare
 
 RARE = 5e-6
 EDGE_SHARE = 1e-4
@@ -432,17 +433,27 @@ def word_counts(texts: DataFrame, rare: float = RARE) -> tuple[dict[str, int], i
         words.unpersist()
 
 
-def header_keys(scanned: DataFrame, share: float = EDGE_SHARE) -> frozenset[str]:
-    """Header lines found at page edges of at least two documents and of ``share`` of all."""
+def header_keys(scanned: DataFrame, share: float = EDGE_SHARE) -> tuple[frozenset[str], DataFrame | None]:
+    """Header lines found at page edges of at least two documents: those of ``share`` of all, and the rest by digest, None if there can be none."""
 
     def run(cols):
         out = [k for text in cols["text"] if text for k in edge_keys(text)]
         return {"k": out}
 
     rows = scanned.select("text").where(F.col("text").isNotNull())
-    n = rows.count()
-    keys = map_batches(rows, run, "k string").groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, math.ceil(share * n)))
-    return frozenset(r["k"] for r in keys.collect())
+    least = max(2, math.ceil(share * rows.count()))
+    keys = map_batches(rows, run, "k string").groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= 2)
+    rare = None
+    if least > 2:
+        ensure_checkpoint_dir(scanned.sparkSession)
+        keys = keys.checkpoint()
+        rare = keys.where(F.col("n") < least).select(F.unhex(F.md5("k")).alias("d"))
+    return frozenset(r["k"] for r in keys.where(F.col("n") >= least).collect()), rare
+
+
+def _all_parts(text: str) -> set[str]:
+    """The parts of all lines of a text that a list of headers is asked for."""
+    return {p for line in text.split("\n") if _candidate(line) for p in _parts(line)}
 
 
 _STATE: dict[str, tuple[Lexicon, frozenset[str]]] = {}
@@ -456,22 +467,36 @@ def _state(name: str, broadcast) -> tuple[Lexicon, frozenset[str]]:
     return _STATE[name]
 
 
-def _fitted(scanned: DataFrame, corpus: DataFrame):
+def _fitted(scanned: DataFrame, corpus: DataFrame, share: float):
+    """``(content_id, text [, rare])``, and a function of such columns that decodes each text, None for one without text."""
     counts, total = word_counts(corpus)
-    return uuid.uuid4().hex, scanned.sparkSession.sparkContext.broadcast((counts, total, header_keys(scanned)))
+    known, rare = header_keys(scanned, share)
+    name, sent = uuid.uuid4().hex, scanned.sparkSession.sparkContext.broadcast((counts, total, known))
+    rows = scanned.select("content_id", "text")
+    if rare is not None:
+        rows = with_rare(rows, rare, lambda text: _all_parts(text) - _state(name, sent)[1])
+
+    def decoded(cols):
+        lexicon, listed = _state(name, sent)
+        for text, own in zip(cols["text"], cols.get("rare") or [None] * len(cols["text"])):
+            if not text or text.isspace():
+                yield None
+                continue
+            found = {r["d"] for r in own or ()}
+            yield decode(text, lexicon, Both({p for p in _all_parts(text) if digest(p) in found}, listed) if found else listed)
+
+    return rows, decoded
 
 
-def scan_lines(scanned: DataFrame, corpus: DataFrame) -> DataFrame:
+def scan_lines(scanned: DataFrame, corpus: DataFrame, share: float = EDGE_SHARE) -> DataFrame:
     """``(content_id, line_no from 1, kind)`` for the texts of scanned pages; ``corpus`` gives the word frequencies."""
-    name, sent = _fitted(scanned, corpus)
+    rows, decoded = _fitted(scanned, corpus, share)
 
     def run(cols):
-        lexicon, known = _state(name, sent)
         out = {"content_id": [], "line_no": [], "kind": []}
-        for i, text in zip(cols["content_id"], cols["text"]):
-            if not text or text.isspace():
+        for i, d in zip(cols["content_id"], decoded(cols)):
+            if d is None:
                 continue
-            d = decode(text, lexicon, known)
             for kind, found in (("header", d.headers), ("page_no", d.numbers), ("hyphen", d.hyphens), ("misread", d.misread)):
                 for k in sorted(found):
                     out["content_id"].append(i)
@@ -479,15 +504,14 @@ def scan_lines(scanned: DataFrame, corpus: DataFrame) -> DataFrame:
                     out["kind"].append(kind)
         return out
 
-    return map_batches(scanned.select("content_id", "text"), run, "content_id long, line_no int, kind string")
+    return map_batches(rows, run, "content_id long, line_no int, kind string")
 
 
-def repaired(scanned: DataFrame, corpus: DataFrame) -> DataFrame:
+def repaired(scanned: DataFrame, corpus: DataFrame, share: float = EDGE_SHARE) -> DataFrame:
     """``(content_id, text)`` in continuous paragraphs."""
-    name, sent = _fitted(scanned, corpus)
+    rows, decoded = _fitted(scanned, corpus, share)
 
     def run(cols):
-        lexicon, known = _state(name, sent)
-        return {"content_id": cols["content_id"], "text": [decode(t, lexicon, known).text if t else t for t in cols["text"]]}
+        return {"content_id": cols["content_id"], "text": [d.text if d else t and "" for t, d in zip(cols["text"], decoded(cols))]}
 
-    return map_batches(scanned.select("content_id", "text"), run, "content_id long, text string")
+    return map_batches(rows, run, "content_id long, text string")

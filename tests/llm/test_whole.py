@@ -4,7 +4,8 @@ import unicodedata
 
 import numpy as np
 
-from sievemark.llm import lookalike, pii
+from sievemark.llm import lookalike, mainbody, pii, scans
+from sievemark.llm.queries import _pages, _scanned
 
 # --- problem 1 ---------------------------------------------------------------
 
@@ -51,3 +52,16 @@ def test_names_in_lower_case():
         assert [text[a:b] for a, b, kind in found if kind == "person_name"] == [texts[text]]
     for text in ("в романе вера и надежда спорят о мире", "вера в победу и любовь к делу"):
         assert pii.find_all([text], field) == [[]]
+
+
+# --- problems 2 and 5 --------------------------------------------------------
+
+
+def test_rare_lines_count_as_listed_ones(spark, sf):
+    """However few lines may be broadcast, the rest are joined: the same result."""
+    pages = _pages(spark, sf).localCheckpoint()
+    kept = [sorted(map(tuple, mainbody.keep_lines(pages, 60, common).collect())) for common in (0.0, 0.2)]
+    assert kept[0] and kept[0] == kept[1]
+    scanned, corpus = _scanned(spark, sf), spark.read.parquet(f"{sf}/extracted_content.parquet")
+    lines = [sorted(map(tuple, scans.scan_lines(scanned, corpus, share).collect())) for share in (0.0, 0.9)]
+    assert any(kind == "header" for _, _, kind in lines[0]) and lines[0] == lines[1]
