@@ -47,11 +47,13 @@ LABELS = {
     "cookie": r".*cookie.*|продолжая просмотр.*|.*сбор обезличенной статистики.*|этот сайт сохраняет настройки.*|.*принять все.*отклонить.*",
     "meta": r"опубликовано:? \d.*|просмотров:? \d+.*|теги:.*|время чтения.*|автор:.*|оценить материал.*|published .*|views:? .*",
     "share": r"распечатать|версия для печати|поделиться|отправить ссылку.*|скачать в pdf|добавить в избранное|прослушать страницу|print|share",
-    "link": r"(?:по теме|материал по теме|читайте также|смотрите также|см\. также|также по теме|подробнее)\s*(?:[:—–-]\s*.+)|(?:реклама|на правах рекламы)\b.*",
+    "link": r"(?:по теме|материал по теме|читайте также|смотрите также|см\. также|также по теме|подробнее)\s*(?:[:—–-]\s*.+)",
+    "ad": r"(?:реклама|на правах рекламы)\b.*",
     "slogan": r"[А-ЯЁ][^.—;]{4,60} — [а-яё][^.—;:]{4,60}",
     "crumbs": r"(?:вы здесь:\s*)?(?:главная|home)\s*[>/»›→].*",
 }
 _LABELS = {k: re.compile(v, 0 if k == "slogan" else re.I) for k, v in LABELS.items()}
+_LEADS_ON = re.compile(r"(?:по теме|материал по теме|читайте также|смотрите также|см\. также|также по теме|подробнее)\s*[:—–-]\s*.+|(?:реклама|на правах рекламы)(?:\.|\s*[:—–-])\s*.+", re.I)
 #: Surroundings are short; a longer line that speaks of the same is prose.
 LONGEST_LABEL = 110
 # fixed values: usual entries of a menu, and heads of side columns
@@ -89,6 +91,11 @@ def kind(line: str) -> str | None:
     return None
 
 
+def _is_link(line: str) -> bool:
+    """A short line that says itself that it leads elsewhere, and is no sentence; all else the trees decide."""
+    return len(line) <= LONGEST_LABEL and not _END.search(line) and bool(_LEADS_ON.fullmatch(line.strip()))
+
+
 def label(lines: list[str]) -> list[bool]:
     """Body or not, by the label table and the order of a page's parts."""
     kinds = [kind(x) for x in lines]
@@ -113,7 +120,7 @@ def label(lines: list[str]) -> list[bool]:
                 continue
             if kinds[i] is not None:
                 continue
-            nxt = next((j for j in range(i + 1, n) if kinds[j] not in ("meta", "share", "link", "slogan")), None)
+            nxt = next((j for j in range(i + 1, n) if kinds[j] not in ("meta", "share", "link", "ad", "slogan")), None)
             if side:
                 # a side column ends where a heading is followed by prose of several sentences or a list
                 if not _END.search(lines[i]) and nxt is not None and kinds[nxt] is None and (prose(nxt) and len(lines[nxt]) > 60 or _BULLET.match(lines[nxt]) or lines[nxt].endswith((":", ";"))):
@@ -353,18 +360,19 @@ def decode(odds: np.ndarray, lines: list[str] | None = None, bridge: float = 1.2
     kept = [i for i in range(region[0], region[1] + 1) if odds[i] > 0]
     if lines is None or not kept:
         return kept
-    kept = [i for i in kept if kind(lines[i]) is None]
-    if kept:
-        # a body has its headline before it, unless nothing there could be one
-        first = lines[kept[0]]
-        plain = bool(_END.search(first)) or first.endswith((";", ":")) or bool(_BULLET.match(first)) or " | " in first
-        for i in range(kept[0] - 1, max(-1, kept[0] - 5), -1):
-            named = kind(lines[i])
-            if named in ("link", "meta", "share"):
-                continue
-            if named is None and odds[i] > (-2.7 if plain else -1.0) and not _END.search(lines[i]) and len(lines[i]) > 8:
-                kept.insert(0, i)
-            break
+    kept = [i for i in kept if not _is_link(lines[i])]
+    if not kept:
+        return kept
+    # a body has its headline before it, unless nothing there could be one
+    first = lines[kept[0]]
+    plain = bool(_END.search(first)) or first.endswith((";", ":")) or bool(_BULLET.match(first)) or " | " in first
+    for i in range(kept[0] - 1, max(-1, kept[0] - 5), -1):
+        named = kind(lines[i])
+        if named in ("link", "ad", "meta", "share"):
+            continue
+        if named is None and odds[i] > (-2.7 if plain else -1.0) and not _END.search(lines[i]) and len(lines[i]) > 8:
+            kept.insert(0, i)
+        break
     return kept
 
 

@@ -65,3 +65,13 @@ def test_rare_lines_count_as_listed_ones(spark, sf):
     scanned, corpus = _scanned(spark, sf), spark.read.parquet(f"{sf}/extracted_content.parquet")
     lines = [sorted(map(tuple, scans.scan_lines(scanned, corpus, share).collect())) for share in (0.0, 0.9)]
     assert any(kind == "header" for _, _, kind in lines[0]) and lines[0] == lines[1]
+
+
+def test_odds_decide_on_lines_like_surroundings():
+    lines = [
+        "Отопление — работы идут по графику", "Реклама лекарств в аптеках разрешена, " + "если знак стоит на каждом листе, " * 4 + "как и прежде.", "Политика конфиденциальности обсуждалась на встрече жильцов.",
+        "Файлы cookie хранит сам читатель.", "Читайте также: Сроки ответа на запрос", "Реклама. Разбор инцидента", "Конец рассказа о доме.",
+    ]
+    odds = np.array([2.0, 2.0, 2.0, 2.0, 0.3, 0.3, 2.0])
+    assert mainbody.decode(odds, lines) == [0, 1, 2, 3, 6]
+    assert mainbody.kind(lines[1]) is None and mainbody.kind(lines[5]) == "ad"
