@@ -3,10 +3,10 @@
 1. Page furniture: lines that hold only a page number, in one of the usual
    styles and in a running order, and running headers and footers, told by
    their repetition within a document and at page edges over the corpus.
-2. The remaining lines are one stream of tokens; joint decoding of its words
-   weighs keeping a token, exchanging misread characters, joining the halves of
-   a word broken at a line end (with or without its hyphen), merging two tokens
-   and splitting one, by word frequencies of the whole corpus.
+2. Words broken at a line end are joined first, with or without the hyphen, by
+   word frequencies of the whole corpus.  The other tokens of a line are decoded
+   jointly by Viterbi over word costs: a token is kept, has one or two letters
+   exchanged, is split in two or is merged with the next one.
 3. Paragraph boundaries are chosen by dynamic programming over the lines.
 
 The word list holds the words of a relative frequency of at least ``RARE``, so
@@ -35,8 +35,11 @@ from .common import Both, digest, ensure_checkpoint_dir, map_batches, with_rare
 
 RARE = 5e-6
 EDGE_SHARE = 1e-4
-#: A correction must be so many times as frequent as what stands.
+#: A correction must be so many times as frequent as what stands, for each exchanged letter.
 RATIO = 40
+EXCHANGE = math.log(RATIO)
+#: The cost of a blank that was read too much or too little.
+BLANK = 10.0
 
 # fixed values: hyphens that end a broken line; the second group is never part of a word
 _HYPHENS = "-‐¬\xad"
@@ -57,6 +60,7 @@ _SPECKS = "~|¦^'`´"
 _CORE = re.compile(rf"[^\W_](?:[\w{_SPECKS}\-‐¬\xad’]*[\w{_SPECKS}])?|[{_SPECKS}]+[^\W_][\w{_SPECKS}]*")
 _WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _CYR = re.compile("[А-Яа-яЁё]")
+_FOREIGN_LETTER = re.compile("[^А-Яа-яЁё]")
 _END = re.compile(rf"([\w{_SPECKS}]+(?:-[\w{_SPECKS}]+)*)([{_HYPHENS}])\s*$")
 _BEGIN = re.compile(rf"\s*([\w{_SPECKS}]+(?:-[\w{_SPECKS}]+)*)")
 _NUMBER = r"[\dlIOОоoi|]{1,4}"
@@ -189,6 +193,10 @@ class Lexicon:
     total: int
     _cache: dict[str, str | None] = field(default_factory=dict)
 
+    def __post_init__(self):
+        #: the cost of the most frequent word
+        self.least = -math.log(max(self.counts.values(), default=1) / max(1, self.total))
+
     def p(self, word: str) -> float:
         return self.counts.get(word, 0) / max(1, self.total)
 
@@ -196,6 +204,11 @@ class Lexicon:
         n = self.counts.get(word, 0)
         return -math.log(n / self.total) if n else 10 + 1.5 * len(word)
 
+    def reading(self, word: str) -> float:
+        """The cost of a word as it stands or as it is corrected, whichever ``correct`` chooses."""
+        good = self.correct(word)
+        return self.cost(good) + EXCHANGE * (1 if len(good) != len(word) else max(1, sum(a != b for a, b in zip(good, word.lower())))) if good else self.cost(word.lower())
+
     def known(self, word: str) -> bool:
         return word in self.counts
 
@@ -211,7 +224,6 @@ class Lexicon:
         if not _CYR.search(word):
             return None
         low = word.lower()
-        here = self.p(low)
         mixed = bool(re.search(rf"[A-Za-z{_SPECKS}]", word)) or bool(re.search(r"\d", word) and not re.fullmatch(r"\d+[А-Яа-яЁё]{1,2}|[А-ЯЁ]{1,3}\d+", word))
         if mixed:
             plain = word
@@ -219,10 +231,21 @@ class Lexicon:
                 plain = plain.replace(group, letter)
             plain = "".join(_FOREIGN.get(c, _FOREIGN.get(c.lower(), c)) for c in plain).lower()
             return plain if self.known(plain) else next((x for x in self._near(plain) if self.known(x)), "")
-        if len(low) < 4 or here > 1e-4:
+        if not low.isalpha():
             return None
-        best = max(self._near(low), key=self.p, default=None)
-        return best if best and self.p(best) >= max(RATIO * here, 10 * RARE) else None
+        # by cost alone: one or two exchanged letters, words of any length and rarity in the list
+        best, at = None, self.cost(low)
+        if at <= EXCHANGE:
+            return None
+        one = set(self._near(low))
+        for x in one:
+            if self.known(x) and (c := self.cost(x) + EXCHANGE) < at:
+                best, at = x, c
+        if at > 2 * EXCHANGE:
+            for x in {y for x in one for y in self._near(x)} - one - {low}:
+                if self.known(x) and (c := self.cost(x) + 2 * EXCHANGE) < at:
+                    best, at = x, c
+        return best
 
     @staticmethod
     def _near(word: str):
@@ -292,10 +315,17 @@ def decode(text: str, lexicon: Lexicon, known: frozenset[str]) -> Decoded:
                 joined = (left, right, goes, first.end())
         start = skip.get(k, 0)
         out, at = [carried.get(k, "")], start
-        for t in _CORE.finditer(line, start, body_end):
-            out.append(line[at : t.start()])
-            out.append(_fix_token(t.group(), k, lexicon, misread))
-            at = t.end()
+        found = [t.span() for t in _CORE.finditer(line, start, body_end)]
+        for a, b, cut in best_path(line, found, lexicon):
+            out.append(line[at : found[a][0]])
+            at = found[b - 1][1]
+            word = line[found[a][0] : at]
+            if cut or b - a > 1:
+                misread.add(k)
+                words = [word[:cut], word[cut:]] if cut else [word.replace(" ", "")]
+                out.append(" ".join(_fix_token(w, k, lexicon, misread) for w in words))
+            else:
+                out.append(_fix_token(word, k, lexicon, misread))
         out.append(line[at:body_end])
         if joined:
             left, right, goes, upto = joined
@@ -308,6 +338,36 @@ def decode(text: str, lexicon: Lexicon, known: frozenset[str]) -> Decoded:
     return Decoded(head, numbers, hyphens, misread, _paragraphs(lines, running, fixed))
 
 
+def best_path(line: str, found: list[tuple[int, int]], lexicon: Lexicon) -> list[tuple[int, int, int]]:
+    """The reading of least total cost of a line's tokens: ``(first, behind the last, place of a missing blank or 0)`` of each word.
+
+    A token stands or is corrected, is split in two, or is merged with the next one.
+    """
+    n = len(found)
+    words = [line[a:b] for a, b in found]
+    plain = [w.isalpha() and not _FOREIGN_LETTER.search(w) for w in words]
+    best, back = [0.0] + [math.inf] * n, [(0, 0)] * (n + 1)
+    for i, w in enumerate(words):
+        alone = lexicon.reading(w) if plain[i] else 0.0
+        if (c := best[i] + alone) < best[i + 1]:
+            best[i + 1], back[i + 1] = c, (i, 0)
+        if plain[i] and alone > BLANK + 2 * lexicon.least:
+            low = w.lower()
+            for cut in range(1, len(w)):
+                if lexicon.known(low[:cut]) and lexicon.known(low[cut:]) and (c := best[i] + BLANK + lexicon.cost(low[:cut]) + lexicon.cost(low[cut:])) < best[i + 1]:
+                    best[i + 1], back[i + 1] = c, (i, cut)
+        if i and plain[i] and plain[i - 1] and w.islower() and line[found[i - 1][1] : found[i][0]] == " ":
+            both = (words[i - 1] + w).lower()
+            if lexicon.known(both) and (c := best[i - 1] + BLANK + lexicon.cost(both)) < best[i + 1]:
+                best[i + 1], back[i + 1] = c, (i - 1, 0)
+    out, i = [], n
+    while i:
+        a, cut = back[i]
+        out.append((a, i, cut))
+        i = a
+    return out[::-1]
+
+
 def _like(model: str, low: str) -> str:
     """``low`` in the capitals of ``model``."""
     letters = [c for c in model if c.isalpha()]

@@ -75,3 +75,14 @@ def test_odds_decide_on_lines_like_surroundings():
     odds = np.array([2.0, 2.0, 2.0, 2.0, 0.3, 0.3, 2.0])
     assert mainbody.decode(odds, lines) == [0, 1, 2, 3, 6]
     assert mainbody.kind(lines[1]) is None and mainbody.kind(lines[5]) == "ad"
+
+
+def test_words_are_decoded_by_cost():
+    """Rare and short words, two wrong letters, a missing and a needless blank; a sound rare word stands."""
+    counts = {"в": 30_000, "рассмотрении": 400, "дела": 9000, "например": 500, "лицензия": 12, "акт": 5000, "листы": 4000, "и": 30_000, "у": 5000}
+    lexicon = scans.Lexicon(counts, 1_000_000)
+    lines = ["лицепзия акт", "лнцепзия акт", "врассмотрении дела", "на пример листы", "анг и листы", "Обезвоживание и листы"]
+    read = ["лицензия акт", "лицензия акт", "в рассмотрении дела", "например листы", "анг и листы", "Обезвоживание и листы"]
+    got = [scans.decode(x, lexicon, frozenset()) for x in lines]
+    assert [d.text for d in got] == read
+    assert [bool(d.misread) for d in got] == [True, True, True, True, False, False]
