@@ -124,7 +124,7 @@ def _several_forms(texts: DataFrame) -> DataFrame:
     keyed = (
         texts.select("rec_table", "rec_id", "text")
         .where(F.col("text").isNotNull())
-        .where(_mapped(F.col("text")).rlike(r"\S"))
+        .where(F.col("text").rlike("[!-~А-я]") | _mapped(F.col("text")).rlike(r"\S"))  # the second only where the first finds nothing
         .withColumn("h", coarse(F.col("text")))
     )
     stored = F.xxhash64("text")
