@@ -19,12 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints at ``spark.checkpoint.dir``; a local folder only where it is unset (tests)."""
+    """Point checkpoints at ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (one machine, as in tests) gets a folder
+    of its own; a cluster is refused, as its executors share no local folder.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         shared = tempfile.mkdtemp(prefix="sievemark-checkpoint-")
@@ -45,13 +51,19 @@ def with_extractor(contents: DataFrame, scans: DataFrame, extractors: Sequence[s
     twice; a left-semi join keeps one row per content row.
     """
     wanted = scans.where(F.col("extractor").isin(*extractors)).select("path")
-    return contents.select("content_id", "path", "text").where(F.col("text").isNotNull()).join(wanted, "path", "left_semi")
+    return spread(contents.select("content_id", "path", "text").where(F.col("text").isNotNull())).join(wanted, "path", "left_semi")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the input comes in fewer partitions than there are cores, as one small file does; else as they are."""
+    """Rows of a plain scan over all cores where its files give fewer partitions than there are cores, as one small file does; else as they are.
+
+    Only plans without an exchange are looked at, so no job runs here.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan" or "Exchange" in plan.toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:

@@ -3,7 +3,9 @@
 The character properties of the public sentence-break rules (full stops,
 sentence terminators, closing marks, of all scripts) name the candidates; a
 candidate becomes a boundary unless abbreviation, number, initial or quotation
-rules forbid it.  An empty line always ends a sentence.  In Thai, whose
+rules forbid it.  Abbreviations are those of the language of the paragraph: its
+script tells it, and for Latin letters its most usual words, then those of the
+whole text; a language column is not needed and not read.  An empty line always ends a sentence.  In Thai, whose
 sentences carry no mark, a blank between two Thai letters is the candidate.
 
 Defined results: null, empty and blank texts have no sentence; repeated rows
@@ -14,6 +16,7 @@ joined with the white space between them give back the text.
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import regex
@@ -24,17 +27,18 @@ from .common import map_batches
 
 
 def _property(name: str) -> str:
-    """All characters of a sentence-break property, as the body of a character class."""
+    """All characters of a sentence-break property."""
     test = regex.compile(rf"\p{{Sentence_Break={name}}}")
-    return "".join(re.escape(chr(c)) for c in range(0x11FFF) if not 0xD800 <= c < 0xE000 and test.match(chr(c)))
+    return "".join(c for x in range(0x110000) if not 0xD800 <= x < 0xE000 and test.match(c := chr(x)))
 
 
 _STERM = _property("STerm") + "…"
-_ATERM = ".．․﹒"
+_ATERM = _property("ATerm")
 _NO_BLANK = set("。！？｡︒﹖﹗")  # these end a sentence without a blank after them
 _PAIRS = {"«": "»", "“": "”", "„": "“", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "‹": "›"}
-_CLOSERS = set("»”」』)）]】》›\"'’")
-_EVENTS = frozenset(_STERM.replace("\\", "") + _ATERM)
+# marks of the closing property that only open are no closers: initial and opening punctuation
+_CLOSERS = {c for c in _property("Close") if unicodedata.category(c) not in ("Ps", "Pi")} | {"’"}
+_EVENTS = frozenset(_STERM + _ATERM)
 _QUOTES = frozenset("«»“”„「」『』()（）[]【】《》‹›\"")
 
 
@@ -51,24 +55,58 @@ _THAI_LETTERS = frozenset(map(chr, range(0x0E01, 0x0E5C)))
 _THAI_BLANK = re.compile(r"(?<=[ก-๎๚])\s+(?=[ก-๎])")
 _SKIP = re.compile(r"\s*")
 
-# fixed values: abbreviations that are followed by what they introduce, and so never end a sentence
-LEADING = frozenset(
-    """проф акад доц канд инж им ул пер просп пл наб бул ш д корп стр кв оф эт тел доб факс моб см ср рис табл илл п пп ст гл разд прил напр т
-    тт с сс обл р-н пос дер сост ред изд вып № ч нач зав зам гр гос св
-    dr prof mr mrs ms st no nos nr sec secs fig figs p pp vol vols ch eq ref eds ed e.g i.e cf vs approx viz al gen col capt lt sgt rev hon
-    z.b d.h bzw vgl abs art hr fr ca inkl evtl ggf sog bd s str tel zzgl mind max
-    डॉ श्री सुश्री पं प्रो रु ดร นพ พญ ผศ รศ ศ د أ م ص ج""".split()
-)
-# fixed values: abbreviations that may end a sentence; they do where the next one visibly begins
-ENDING = frozenset(
-    """др пр руб коп тыс млн млрд трлн экз шт гг вв долл кг мин сек час т.д т.п т.е т.к
-    inc ltd co corp jr sr a.m p.m etc usw u.a u.s u.k mio mrd std""".split()
-)
+# fixed values: abbreviations by language; the first are followed by what they introduce and so never end a sentence,
+# the second do so before a figure, the third may end a sentence and do where the next one visibly begins
+ABBREVIATIONS = {
+    "cyrillic": (
+        """проф акад доц канд инж им ул пер просп пл наб бул ш д корп стр кв оф эт тел доб факс моб см ср рис табл илл п пп ст гл разд прил напр т
+        тт с сс обл р-н пос дер сост ред изд вып № ч нач зав зам гр гос св""",
+        "",
+        "др пр руб коп тыс млн млрд трлн экз шт гг вв долл кг мин сек час т.д т.п т.е т.к",
+    ),
+    "en": (
+        "dr prof mr mrs ms st rev hon gen col capt lt sgt messrs e.g i.e cf vs approx viz",
+        "no nos nr sec secs fig figs p pp vol vols ch eq ref eds ed art arts para tel ext",
+        "inc ltd co corp jr sr a.m p.m etc u.s u.k dept est",
+    ),
+    "de": (
+        "dr prof z.b d.h bzw vgl hr fr frl inkl exkl evtl ggf sog zzgl st e d z u",
+        "abs art nr nrn s seite bd kap ziff tel str mind max ca abb tab",
+        "usw u.a mio mrd std etc gmbh co",
+    ),
+    "devanagari": ("डॉ श्री सुश्री पं प्रो रु", "", ""),
+    "thai": ("ดร นพ พญ ผศ รศ ศ", "", ""),
+    "arabic": ("د أ م ص ج", "", ""),
+}
+_ABBREVIATIONS = {k: tuple(frozenset(x.split()) for x in v) for k, v in ABBREVIATIONS.items()}
+#: Where usual words do not tell the language, what both have.
+_ABBREVIATIONS["latin"] = tuple(a & b if k == 0 else a | b for k, (a, b) in enumerate(zip(_ABBREVIATIONS["en"], _ABBREVIATIONS["de"])))
+# fixed values: the most usual words of English and German
+_USUAL = {
+    "en": frozenset("the of and to in is was were for that with are at by on from it this which be has have not as we he she they you".split()),
+    "de": frozenset("der die das und ist nicht ein eine einen den dem des zu mit von für auf wird im am es sie er wir auch sind war bei nach".split()),
+}
+
+
+def _script(word: str) -> str:
+    c = next((c for c in word if c.isalpha()), "a")
+    for name, low, high in (("cyrillic", "\u0400", "\u052f"), ("devanagari", "\u0900", "\u097f"), ("thai", "\u0e00", "\u0e7f"), ("arabic", "\u0600", "\u06ff")):
+        if low <= c <= high:
+            return name
+    return "latin"
+
+
+def _latin_language(text: str) -> str:
+    own = [w.lower() for w in re.findall(r"[^\W\d_]+", text)]
+    en, de = (sum(w in _USUAL[k] for w in own) for k in ("en", "de"))
+    return "latin" if en == de else "en" if en > de else "de"
+
+
 # fixed values: words before a German ordinal, and months that follow one
 _BEFORE_ORDINAL = frozenset("am im zum vom beim der die das den dem des bis ab seit ein eine einen einem einer jede jeder jedes jeden".split())
 _MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 
-#: So far back a word before a full stop is looked for.
+#: So far back a word before a full stop is looked for; no abbreviation, initial or number of a list is as long, so a longer word is none.
 _BACK = 100
 #: Pairs nested deeper were never closed; the outermost are given up.
 _DEPTH = 8
@@ -96,8 +134,10 @@ def _attributed(rest: str) -> bool:
 class _Paragraph:
     """Boundaries within one paragraph; positions are those of the paragraph."""
 
-    def __init__(self, text: str, pattern: re.Pattern, thai: bool):
+    def __init__(self, text: str, pattern: re.Pattern, thai: bool, whole: str | None = None):
         self.text = text
+        self.whole = text if whole is None else whole
+        self.language: str | None = None
         self.pattern = pattern
         self.thai = thai
         self.starts: list[int] = []
@@ -242,6 +282,17 @@ class _Paragraph:
             return len(word) > 2 and not prev.isupper()
         return bool(prev) and not prev.isspace() and (follows.isalpha() or follows.isspace() or not follows)
 
+    def _abbreviations(self, word: str) -> tuple[frozenset, frozenset, frozenset]:
+        """The lists of the language that ``word`` stands in."""
+        script = _script(word)
+        if script == "latin":
+            if self.language is None:
+                self.language = _latin_language(self.text)
+                if self.language == "latin":
+                    self.language = _latin_language(self.whole)
+            script = self.language
+        return _ABBREVIATIONS[script]
+
     def _abbreviation(self, at: int, after: int) -> bool:
         """Does the full stop at ``at`` belong to an abbreviation, initial or number that does not end here?"""
         text = self.text
@@ -250,6 +301,7 @@ class _Paragraph:
         nxt = text[after]
         if not word:
             return False
+        leading, numbered, ending = self._abbreviations(word)
         lo = max(self.start, at - _BACK)
         before = text[lo : at - len(word)].rstrip()
         opening = lo == self.start and not before.strip("-–—•*«“\"( ")
@@ -269,12 +321,12 @@ class _Paragraph:
                 return low in "ек"  # «и т. д.» may end a sentence, «т. е.» may not
             if low == "г" and (re.search(r"\d\s*$", before)):
                 return False
-            if low in "ezdu" and nxt.isalpha():
-                return True
-            return low in LEADING or low in "гв" or (_caseless(word) and low in LEADING)
-        if low in LEADING:
+            return low in leading or low in "гв" or (low in numbered and nxt.isdigit())
+        if low in leading or (low in numbered and (nxt.isdigit() or nxt in "№#")):
+            return True
+        if low == "al" and re.search(r"\bet\s*$", before):
             return True
-        if low in ENDING or low.replace(" ", "") in ENDING:
+        if low in ending or low.replace(" ", "") in ending:
             return False
         if "." in word and re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", word):
             return nxt.isupper() and word[0].isupper()  # initials set close
@@ -297,7 +349,7 @@ def starts(text: str | None) -> list[int]:
 
 def _of_paragraph(text: str, a: int, b: int, pattern: re.Pattern, thai: bool) -> list[int]:
     part = text[a:b]
-    return [] if not part or part.isspace() else [a + x for x in _Paragraph(part, pattern, thai).run()]
+    return [] if not part or part.isspace() else [a + x for x in _Paragraph(part, pattern, thai, text).run()]
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:

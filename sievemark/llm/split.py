@@ -4,7 +4,9 @@ Every possible cut is a boundary of a kind: paragraph, line, sentence, word,
 or, where a window holds none, the bare character position.  Each boundary is
 joined to its farthest legal successor, that is the last boundary of the best
 kind within ``limit`` characters of the piece that the boundary starts, the
-overlap included.  Squaring the successor table k times gives the boundary
+overlap included.  Legal are first the boundaries of the window's second half,
+so that pieces are not short for an early paragraph end; those of its first
+half only where the second holds none.  Squaring the successor table k times gives the boundary
 2**k cuts ahead of every boundary, so the whole greedy chain of a text comes
 from log2(cuts) table look-ups instead of a walk.
 
@@ -61,15 +63,16 @@ def successors(pos: np.ndarray, kind: np.ndarray, n: int, limit: int, overlap: i
         reach = np.minimum(begin + limit, n)
         best = reach.copy()
         open_ = np.ones(len(cuts), bool)
-        for own in by_kind:
-            if not len(own):
-                continue
-            at = np.searchsorted(own, reach, side="right") - 1
-            found = open_ & (at >= 0) & (own[np.maximum(at, 0)] > cuts)
-            # a cut must leave a new piece that is longer than the overlap
-            found &= own[np.maximum(at, 0)] - begin > overlap
-            best[found] = own[at[found]]
-            open_ &= ~found
+        # a cut must leave a new piece that is longer than the overlap
+        for least in (np.maximum(overlap, limit // 2), overlap):
+            for own in by_kind:
+                if not len(own):
+                    continue
+                at = np.searchsorted(own, reach, side="right") - 1
+                place = own[np.maximum(at, 0)]
+                found = open_ & (at >= 0) & (place > cuts) & (place - begin > least)
+                best[found] = place[found]
+                open_ &= ~found
         return best
 
     # natural boundaries all get a successor; a bare successor is a new cut and needs its own

@@ -3,8 +3,9 @@
 The rank file is opened where the work runs (its path is a parameter, the file
 is never shipped or copied), once per Python worker.  Texts longer than
 ``long_text`` characters are first cut at places where the tokenizer's own
-pre-splitting pattern always starts a new piece, so that memory stays bounded
-and the ids stay those of the whole text.
+pre-splitting pattern always starts a new piece, blanks and changes between
+letters, figures and signs among them, so that texts of one line are cut too,
+memory stays bounded and the ids stay those of the whole text.
 
 Defined results: null text and empty text give an empty list; blank text is
 encoded as it stands; strings that look like special tokens are ordinary text;
@@ -30,9 +31,12 @@ from .common import spread
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG_TEXT = 100_000
 
-#: A line feed that follows a non-space and precedes a letter or digit is
-#: always a piece of its own, so a cut on either side changes nothing.
-_SAFE = re.compile(r"(?<=\S)\n(?=\w)")
+#: Places where the pattern always starts a new piece, so a cut changes
+#: nothing: a blank or line feed behind a non-space, and a sign or figure behind
+#: a letter, or a sign or letter behind a figure, of the scripts named here.
+_SAFE = re.compile(
+    r"(?<=\S)(?=[ \n])|(?<=[A-Za-zА-Яа-яЁё一-龥ぁ-んァ-ヶก-ฮ])(?=[0-9,.;:!?(){}<>\"=/\[\]，。、！？；：「」（）])|(?<=[0-9])(?=[A-Za-z,.;:!?(){}<>\"=/\[\]，。、！？；：「」（）])"
+)
 
 
 def default_rank_file() -> str:
@@ -52,16 +56,12 @@ def encoder(rank_file: str):
 
 
 def safe_pieces(text: str, size: int) -> list[str]:
-    """``text`` cut into pieces of about ``size`` at safe boundaries only; whole where there is none."""
-    if len(text) <= size:
-        return [text]
+    """``text`` cut into pieces of about ``size`` at safe boundaries only; a run of letters of one kind stays whole, however long."""
     out, start = [], 0
-    for m in _SAFE.finditer(text):
-        if m.start() - start >= size:
-            out.append(text[start : m.start()])
-            start = m.start()
-    out.append(text[start:])
-    return out
+    while len(text) - start > size and (m := _SAFE.search(text, start + size)):
+        out.append(text[start : m.start()])
+        start = m.start()
+    return [*out, text[start:]]
 
 
 def encode(text: str | None, rank_file: str, long_text: int = LONG_TEXT) -> np.ndarray:

@@ -86,6 +86,8 @@ def test_split_prefers_natural(spark):
         k = int(succ[k])
         walk.append(int(cuts[k]))
     assert walk == ends
+    early = "а" * 11 + "\n\n" + "б " * 60  # an early paragraph end makes no short piece
+    assert all(b - a > 20 for a, b in split.pieces(early, 40, 5)[:-1])
     df = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 3000), (4, "x" * 3001)], "content_id long, text string")
     assert [(r["content_id"], r["piece_no"], r["start_pos"], r["end_pos"]) for r in split.split_oversized(df).collect()] == [(4, 1, 1, 3000), (4, 2, 2801, 3001)]
     with pytest.raises(ValueError):
@@ -115,6 +117,20 @@ def test_tokens(spark, sf):
     assert (tokenize.encode(long, rank, 1000) == tokenize.encode(long, rank, 10**9)).all()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aЖ中かก1２.,'s  \n\t\x1c\xa0\u3000。，é́", max_size=120), st.integers(1, 9))
+def test_token_cuts_change_nothing(text, size):
+    rank = tokenize.default_rank_file()
+    parts = tokenize.safe_pieces(text, size)
+    assert "".join(parts) == text
+    assert tokenize.encode(text, rank, size).tolist() == tokenize.encode(text, rank, 10**9).tolist()
+
+
+def test_one_line_texts_are_cut():
+    assert max(map(len, tokenize.safe_pieces("слово и слово, " * 9000, 1000))) < 1100
+    assert max(map(len, tokenize.safe_pieces('{"a":1,"b":[2,3]},' * 9000, 1000))) < 1100
+
+
 # --- problem 9 ---------------------------------------------------------------
 
 
@@ -179,6 +195,9 @@ def test_leak_forms():
         ["ก่อนสิ้นเดือน ", "พิมพ์ 11.7 หน้าของรายการ ", "ฝ่ายบุคคล 54 ฉบับตามแผน"],
         ["9. Разбор инцидента\n\n", "Сумма в 3 тыс. руб. и 7 млн. экз. учтена.", "Адрес: ул. Садовая, д. 5, тел. доб. 7. ", "Было в 2020 г. ", "Потом и т. д. ", "Отчёт подписали Г. П. Ракитин и Е.Р. Снегурин. ", "(См. приложение № 6, стр. 67.)\n", "Файл отчёт.v5.docx на www.a.test/b.c цел."],
         ["Проверили следующее:\n- письма;\n- справки. ", "Операторы портала… отклонили всё… ", "Почему так долго?! ", "Вопрос «Где листы?» задали врачи."],
+        ["The answer is no. ", "He left."], ["Never mind. ", "We go on."], ["This is art. ", "We like it."], ["Call me Al. ", "I am here."], ["Please give max. ", "Then we stop."],
+        ["It is in Fig. 5 and No. 7 of Moore et al. Harbour Studies. ", "The end."], ["Die Prüfer nahmen max. 5 Bögen nach Art. 7 zur Hand, vgl. Kap. 3 des Berichts. ", "Ende."],
+        *([f"One{chr(c)} ", "Two."] for c in (0x964, 0x16A6E, 0x16AF5, 0x1DA88)),
         ["Строка одна\nи дальше.\r\n\r\n", "Заголовок\n \n", "Текст без точки"],
     ],
 )

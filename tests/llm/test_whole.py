@@ -59,7 +59,7 @@ def test_names_in_lower_case():
 
 def test_rare_lines_count_as_listed_ones(spark, sf):
     """However few lines may be broadcast, the rest are joined: the same result."""
-    pages = _pages(spark, sf).localCheckpoint()
+    pages = _pages(spark, sf).cache()
     kept = [sorted(map(tuple, mainbody.keep_lines(pages, 60, common).collect())) for common in (0.0, 0.2)]
     assert kept[0] and kept[0] == kept[1]
     scanned, corpus = _scanned(spark, sf), spark.read.parquet(f"{sf}/extracted_content.parquet")
