@@ -1,6 +1,7 @@
 """Headings, scanned pages, web pages and personal information on small fixtures."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -125,13 +126,22 @@ def test_trees_and_region():
 # --- problem 7 ---------------------------------------------------------------
 
 
-def test_field_on_held_out_rows():
-    field = pii.train()
-    rows = pii_table.labelled(seed=2024, each=3)
+def test_field_on_held_out_wordings():
+    field = pii.train(without=1)
+    rows = pii_table.labelled(seed=2024, each=6, only=1)
     found = pii.find_all([t for t, _ in rows], field)
     gold, got = ({(n, *x) for n, s in enumerate(side) for x in s} for side in ([s for _, s in rows], found))
     hit = len(gold & got)
-    assert hit / len(gold) > 0.93 and hit / len(got) > 0.95
+    assert hit / len(gold) > 0.9 and hit / len(got) > 0.9
+
+
+def test_table_is_not_taken_from_the_test_tables(spark, sf):
+    """Neither wordings nor surnames, towns, streets and domains of the labelled table stand in the test tables."""
+    text = "\n".join(r[0].lower() for n in ("extracted_content", "text_chunk", "documents") for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{n}.parquet").select("text").where("text is not null").collect())
+    parts = {p.strip(" .,:;—").lower() for w in (*pii_table._WITH, *pii_table._WITHOUT) for p in re.split(r"\{\w\d*\}", w)}
+    assert not [p for p in parts if len(p.split()) > 2 and p in text]
+    words = [*pii_table.SURNAMES, *pii_table.TOWNS, *pii_table.VILLAGES, *pii_table.STREETS, *pii_table.LANES, *pii_table.NEUTER, *pii_table.AVENUES, *pii_table.ENGLISH, *pii_table.DOMAINS]
+    assert not [w for w in words if re.search(rf"(?<!\w){re.escape(w.lower())}(?!\w)", text)]
 
 
 CASES = {
