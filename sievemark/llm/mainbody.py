@@ -4,17 +4,20 @@ The tags of these pages are gone, so the tree is rebuilt from what is left: a
 page has blocks (runs of lines between empty ones), a block has lines, and a
 line has items (its parts between menu separators).  Each line gets features of
 itself, its items, its siblings, its block and its depth on the page, and how
-common its words are over all pages.  Boosted trees give the odds that a line
-belongs to the body; hierarchical decoding then takes the one region of the
-page with the highest total and keeps of it the lines that belong to the body,
-so a line is never kept in a part of the page that is not.
+common it, its items and its opening are over all pages, as lines and as names
+of pages.  Boosted trees give the odds that a line
+belongs to the body; hierarchical decoding decides from the page downwards: has
+it a body at all, which one region of it has the highest total, and which lines
+of that region belong, so a line is never kept in a part that is not.
 
-The trees are trained on lines of at most ``SAMPLE`` pages (those with the
-smallest hash), labelled by a table of typical surroundings.
+The trees are trained on the lines of invented pages (``page_table``), whose
+labels are known, and then once more together with at most ``SAMPLE`` pages of
+the corpus (those with the smallest hash, at most ``SAMPLE_CHARS`` characters),
+labelled by the first trees and the decoding.
 
 Defined results: null, empty and blank pages keep nothing; repeated rows keep
 their lines each; a page without surroundings is kept whole, one without a body
-keeps nothing; with fewer than two pages every line that no label names stays.
+keeps nothing.
 """
 
 from __future__ import annotations
@@ -24,167 +27,114 @@ import re
 import uuid
 from collections import Counter
 
+from functools import lru_cache
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import page_table
 from .common import Both, digest, ensure_checkpoint_dir, map_batches, with_rare
 
-SAMPLE = 1500
+SAMPLE, SAMPLE_CHARS = 1500, 20_000_000
 #: Lines, items and openings that stand on at least this share of pages are broadcast, at most ``60 / COMMON`` of each; rarer ones on two pages or more are joined.
 COMMON = 2e-4
+#: Items on more than this share of pages are entries of menus; always broadcast.
+MENU = 0.01
 
 _ITEMS = re.compile(r"\s*[|·•/»>›→]\s*")
 _BULLET = re.compile(r"^(?:[•\-–—*▪◦]|\(?\d{1,3}[.)]|[а-яa-z][.)])\s")
 _END = re.compile(r"[.!?…][»”\")]*$")
 
-# fixed values: the label table, typical wordings of a page's surroundings
-LABELS = {
-    "site": r"(?:портал|сайт|газета|журнал|интернет-магазин) «[^»]+»",
-    "legal": r"© ?\d{4}.*|.*все права защищены.*|.*политик[аи] конфиденциальности.*|.*условия использования.*|.*публичной офертой.*|.*при использовании материалов.*"
-    r"|.*редакция не несёт ответственности.*|.*разработка и поддержка сайта.*|.*сайт оптимизирован.*|.*выделите её и нажмите ctrl.*|наверх|к началу страницы"
-    r"|мы в социальных сетях|подписаться на рассылку|all rights reserved.*|privacy policy|terms of use",
-    "cookie": r".*cookie.*|продолжая просмотр.*|.*сбор обезличенной статистики.*|этот сайт сохраняет настройки.*|.*принять все.*отклонить.*",
-    "meta": r"опубликовано:? \d.*|просмотров:? \d+.*|теги:.*|время чтения.*|автор:.*|оценить материал.*|published .*|views:? .*",
-    "share": r"распечатать|версия для печати|поделиться|отправить ссылку.*|скачать в pdf|добавить в избранное|прослушать страницу|print|share",
-    "link": r"(?:по теме|материал по теме|читайте также|смотрите также|см\. также|также по теме|подробнее)\s*(?:[:—–-]\s*.+)",
-    "ad": r"(?:реклама|на правах рекламы)\b.*",
-    "slogan": r"[А-ЯЁ][^.—;]{4,60} — [а-яё][^.—;:]{4,60}",
-    "crumbs": r"(?:вы здесь:\s*)?(?:главная|home)\s*[>/»›→].*",
+# fixed values: stems of words that name a page's furniture on any site, by what they speak of; features of a line as a tag's attributes would be
+TOKENS = {
+    "cookie": r"cookie|статистик|\bок\b|\bok\b|соглас",
+    "rights": r"©|copyright|\bправ|соглашен|конфиденц|перепечат|редакци|оферт|услови|terms|privacy|закон",
+    "site": r"сайт|портал|журнал|газет|магазин|разработ|поддержк|рассылк|соц|наверх|вверх|\bсети\b|ошибк|опечатк",
+    "share": r"печат|pdf|поделит|ссылк|друз|избранн|скача|закладк|слуша|share|print",
+    "meta": r"автор|просмотр|опублик|обновл|\bтег|метк|рейтинг|оцен|коммент|\bмин\b|минут|★|views|posted|\bтекст\b|\bфото\b|\d\d:\d\d|\d\d\.\d\d\.\d{4}",
+    "more": r"по теме|на тему|читайте|читать|смотрите|похож|рекоменд|подробн|ещё|раньше|read more|see also",
+    "ad": r"реклам|спонсор|партн[её]р|промо|объявлен",
+    "home": r"главная|home|вы здесь|вы тут",
 }
-_LABELS = {k: re.compile(v, 0 if k == "slogan" else re.I) for k, v in LABELS.items()}
-_LEADS_ON = re.compile(r"(?:по теме|материал по теме|читайте также|смотрите также|см\. также|также по теме|подробнее)\s*[:—–-]\s*.+|(?:реклама|на правах рекламы)(?:\.|\s*[:—–-])\s*.+", re.I)
-#: Surroundings are short; a longer line that speaks of the same is prose.
-LONGEST_LABEL = 110
-# fixed values: usual entries of a menu, and heads of side columns
-MENU = frozenset(
-    """главная|о компании|о нас|новости|документы|контакты|услуги|тарифы|вакансии|закупки|поиск|english|карта сайта|личный кабинет|вопросы и ответы
-    |пресс-центр|отзывы|версия для слабовидящих|противодействие коррупции|home|about|news|contacts|search|sitemap""".replace("\n", "").replace("    ", "").split("|")
-)
-SIDE = frozenset(
-    """последние комментарии|популярное|погода|рубрики|читайте также|курс валют|календарь событий|опрос недели|архив номеров|полезные ссылки
-    |смотрите также|новости партнёров|самое читаемое|related|popular""".replace("\n", "").replace("    ", "").split("|")
-)
-
-
-def _menu_like(line: str) -> bool:
-    rest = f" {line.lower()} "
-    if _ITEMS.search(line):
-        items = [x for x in _ITEMS.split(line.lower()) if x]
-        return sum(x in MENU for x in items) * 2 > len(items)
-    for entry in sorted(MENU, key=len, reverse=True):
-        rest = rest.replace(f" {entry} ", "  ").replace(f" {entry} ", "  ")
-    return not rest.strip()
-
-
-def kind(line: str) -> str | None:
-    """The label of a line by the table, None if it has none."""
-    text = line.strip()
-    for name, pattern in _LABELS.items():
-        if (len(text) <= LONGEST_LABEL or name in ("crumbs", "link")) and pattern.fullmatch(text):
-            return name
-    low = text.lower()
-    if low in SIDE:
-        return "side"
-    if _menu_like(text):
-        return "menu"
-    return None
-
-
-def _is_link(line: str) -> bool:
-    """A short line that says itself that it leads elsewhere, and is no sentence; all else the trees decide."""
-    return len(line) <= LONGEST_LABEL and not _END.search(line) and bool(_LEADS_ON.fullmatch(line.strip()))
-
-
-def label(lines: list[str]) -> list[bool]:
-    """Body or not, by the label table and the order of a page's parts."""
-    kinds = [kind(x) for x in lines]
-    n = len(lines)
-    title = None
-    for line, k in zip(lines, kinds):
-        if k == "crumbs":
-            title = re.split(r"\s[>/»›→]\s", line)[-1].strip()
-    start = next((i for i in range(n) if title and lines[i].strip() == title and kinds[i] is None), None)
-
-    def prose(i: int) -> bool:
-        return kinds[i] is None and bool(_END.search(lines[i]))
-
-    if start is None:
-        side = False
-        for i in range(n):
-            if kinds[i] == "side":
-                side = True
-                continue
-            if kinds[i] in ("menu", "site", "cookie", "crumbs", "legal"):
-                side = side and kinds[i] not in ("menu", "site", "crumbs")
-                continue
-            if kinds[i] is not None:
-                continue
-            nxt = next((j for j in range(i + 1, n) if kinds[j] not in ("meta", "share", "link", "ad", "slogan")), None)
-            if side:
-                # a side column ends where a heading is followed by prose of several sentences or a list
-                if not _END.search(lines[i]) and nxt is not None and kinds[nxt] is None and (prose(nxt) and len(lines[nxt]) > 60 or _BULLET.match(lines[nxt]) or lines[nxt].endswith((":", ";"))):
-                    more = [j for j in range(nxt, min(n, nxt + 6)) if prose(j)]
-                    if len(more) >= 1 and (len(more) > 1 or len(re.findall(r"[.!?]\s", lines[nxt])) > 0):
-                        start = i
-                        break
-                continue
-            start = i
-            break
-    out = [False] * n
-    if start is None:
-        return out
-    for i in range(start, n):
-        if kinds[i] in ("side", "legal", "cookie", "menu", "site"):
-            break
-        out[i] = kinds[i] is None
-    # what follows the last prose, list or table line of the body is no body
-    return out
+_TOKENS = [re.compile(v, re.I) for v in TOKENS.values()]
 
 
 def key(line: str) -> str:
-    """A line without its numbers and names."""
-    return re.sub(r"«[^»]*»", "«»", re.sub(r"\d+", "0", line.strip().lower()))[:160]
+    """A line without its numbers and names; a long one by the digest of the whole."""
+    text = re.sub(r"«[^»]*»", "«»", re.sub(r"\d+", "0", line.strip().lower()))
+    return text if len(text) <= 64 else digest(text).hex()
 
 
 def opening(line: str) -> str:
     """The first words of a line up to its first colon or dash, else its first two."""
     m = re.match(r"^([^:—]{2,30})\s*[:—]\s", line)
-    return key(m.group(1) + ":") if m else " ".join(key(line).split()[:2])
+    return key(m.group(1) + ":") if m else " ".join(re.sub(r"\d+", "0", line.lower()).split()[:2])
+
+
+_ARROW = re.compile(r"\s[>/»›→]\s")
+
+
+def tail(line: str) -> str | None:
+    """The last part of a breadcrumb line, which names the page; None for other lines."""
+    parts = _ARROW.split(line)
+    return parts[-1].strip() if len(parts) > 1 else None
+
+
+def _items(line: str) -> list[str]:
+    """Keys of a line's parts between menu separators; the line's own where it has none."""
+    return [key(x) for x in _ITEMS.split(line) if x.strip()] if _ITEMS.search(line) else [key(line)]
+
+
+#: Tables of counts: lines, items, openings, and names of pages (whole and by their opening).
+TABLES = "liot"
 
 
 class Commons:
-    """Shares of pages that hold a line, a menu item, an opening; and how often prose follows a line."""
+    """How many pages hold a line, an item, an opening or are named so; how often prose follows a line, and where it stands."""
+
+    def __init__(self, pages: int, tables: dict[str, dict], prose: dict, places: dict):
+        self.pages, self.tables, self.prose, self.places = pages, tables, prose, places
 
-    def __init__(self, pages: int, lines: dict, items: dict, openings: dict, prose: dict, places: dict):
-        self.pages, self.lines, self.items, self.openings, self.prose, self.places = pages, lines, items, openings, prose, places
+    def share(self, table: str, k: str) -> float:
+        return self.tables[table].get(k, 0) / max(1, self.pages)
 
-    def share(self, table: dict, k: str) -> float:
-        return table.get(k, 0) / max(1, self.pages)
+    def log_share(self, table: str, k: str) -> float:
+        return math.log10(self.share(table, k) + 1e-4)
 
     def rare_keys(self, text: str) -> list[str]:
-        """Keys of a page that are not listed, each behind the letter of its table."""
-        tables = {"l": self.lines, "i": self.items, "o": self.openings}
-        return [t + k for t, k, _, _ in page_stats(text) if k not in tables[t]]
+        """Keys that a page asks for and that are not listed, each behind the letter of its table."""
+        return [t + k for t, k in _asked(text) if k not in self.tables[t]]
 
     def of_page(self, text: str, rare: list[dict] | None) -> Commons:
         """With what was joined for one page."""
         if not rare:
             return self
         by_digest = {r["d"]: r for r in rare}
-        tables: dict[str, dict] = {"l": {}, "i": {}, "o": {}}
+        tables: dict[str, dict] = {t: {} for t in TABLES}
         prose, places = {}, {}
         for tk in self.rare_keys(text):
             if (r := by_digest.get(digest(tk))) is not None:
                 tables[tk[0]][tk[1:]] = r["n"]
                 if tk[0] == "l":
                     prose[tk[1:]], places[tk[1:]] = r["prose"], r["place"]
-        pairs = ((tables["l"], self.lines), (tables["i"], self.items), (tables["o"], self.openings), (prose, self.prose), (places, self.places))
-        return Commons(self.pages, *(Both(*p) for p in pairs))
+        return Commons(self.pages, {t: Both(tables[t], self.tables[t]) for t in TABLES}, Both(prose, self.prose), Both(places, self.places))
+
+    def covered(self, line: str) -> float:
+        """The share of a line's words that are entries of menus, which stand on many pages."""
+        words = re.sub(r"\d+", "0", line.lower()).split()
+        if not 1 < len(words) <= 30:
+            return 0.0
+        done = at = 0
+        while at < len(words):
+            size = next((k for k in (4, 3, 2, 1) if at + k <= len(words) and self.share("i", " ".join(words[at : at + k])) > MENU), 0)
+            done += size
+            at += size or 1
+        return done / len(words)
 
 
 def page_stats(text: str):
-    """``(table, key, pages, extra)`` counts of one page, each key once."""
+    """``(table, key, followed by prose, place)`` of one page, each key once."""
     lines = [x for x in text.split("\n") if x.strip()]
     seen = set()
     n = len(lines)
@@ -194,17 +144,25 @@ def page_stats(text: str):
             seen.add(("l", k))
             follows = i + 1 < n and bool(_END.search(lines[i + 1]))
             yield "l", k, float(follows), i / n
-        for item in _ITEMS.split(k) if _ITEMS.search(k) else [k]:
-            if item and ("i", item) not in seen and len(item) < 40:
-                seen.add(("i", item))
-                yield "i", item, 0.0, 0.0
-        o = opening(line)
-        if ("o", o) not in seen:
-            seen.add(("o", o))
-            yield "o", o, 0.0, 0.0
+        own = [("i", item) for item in _items(line)] + [("o", opening(line))]
+        if (name := tail(line)) is not None:
+            own += [("t", key(name)), ("t", "o " + opening(name))]
+        for tk in own:
+            if tk not in seen:
+                seen.add(tk)
+                yield *tk, 0.0, 0.0
+
+
+def _asked(text: str) -> set[tuple[str, str]]:
+    out = set()
+    for line in text.split("\n"):
+        if line := line.strip():
+            k, o = key(line), opening(line)
+            out |= {("l", k), ("o", o), ("t", k), ("t", "o " + o), *(("i", x) for x in _items(line))}
+    return out
 
 
-FEATURES = 40
+FEATURES = 52 + len(TOKENS)
 
 
 def features(text: str, commons: Commons) -> tuple[list[int], list[str], np.ndarray]:
@@ -217,7 +175,7 @@ def features(text: str, commons: Commons) -> tuple[list[int], list[str], np.ndar
     if not n:
         return at, lines, x
     keys = [key(v) for v in lines]
-    share = [math.log10(commons.share(commons.lines, k) + 1e-4) for k in keys]
+    share = [commons.log_share("l", k) for k in keys]
     ends = [bool(_END.search(v)) for v in lines]
     block, blocks = [], []
     for j, i in enumerate(at):
@@ -226,7 +184,8 @@ def features(text: str, commons: Commons) -> tuple[list[int], list[str], np.ndar
         else:
             blocks.append([j])
         block.append(len(blocks) - 1)
-    tails = {re.split(r"\s[>/»›→]\s", v)[-1].strip() for v in lines if len(re.split(r"\s[>/»›→]\s", v)) > 1}
+    tails = {t for v in lines if (t := tail(v)) is not None}
+    named = [max(commons.log_share("t", keys[j]), commons.log_share("t", "o " + opening(v))) if len(v) < 120 else -4.0 for j, v in enumerate(lines)]
     title = next((j for j in range(n) if lines[j] in tails), -1)
     common = [j for j in range(n) if share[j] > -2.2]
     # a side column's head: common, in the page's middle, not followed by prose
@@ -241,9 +200,20 @@ def features(text: str, commons: Commons) -> tuple[list[int], list[str], np.ndar
     first_prose = next((j for j in range(n) if ends[j] and share[j] <= -2.2 and len(lines[j]) > 60), -1)
     last_prose = next((j for j in range(n - 1, -1, -1) if ends[j] and share[j] <= -2.2 and len(lines[j]) > 60), -1)
     head_set = set(heads)
+    last_named = next((j for j in range((first_prose if first_prose >= 0 else n) - 1, -1, -1) if named[j] > -3.0), -1)
+    # how much prose lies near, before and after; how long the run of heading-like lines is that a line is in
+    dense = np.concatenate([[0], np.cumsum([min(len(v), 400) / 100 if ends[j] and len(v) > 60 else 0.0 for j, v in enumerate(lines)])])
+    heads_run, j = [0] * n, 0
+    while j < n:
+        i = j
+        while i < n and not ends[i] and lines[i][-1] not in ";:" and not _BULLET.match(lines[i]):
+            i += 1
+        for x_ in range(j, i):
+            heads_run[x_] = i - j
+        j = max(i, j + 1)
     of_block = [(len(b), sum(len(lines[i]) for i in b) / len(b), sum(ends[i] for i in b) / len(b), max(share[i] for i in b)) for b in blocks]
     for j, v in enumerate(lines):
-        parts = [p for p in _ITEMS.split(keys[j]) if p] or [keys[j]]
+        parts = _items(v) or [keys[j]]
         size, mean_length, prose_share, most_common = of_block[block[j]]
         x[j] = (
             math.log1p(len(v)), len(v.split()), ends[j], v[-1] in ";:", v[:1].islower(), bool(_BULLET.match(v)), v.count(" | "), len(parts),
@@ -252,11 +222,14 @@ def features(text: str, commons: Commons) -> tuple[list[int], list[str], np.ndar
             ends[j - 1] if j else 0, ends[j + 1] if j + 1 < n else 0, ends[j + 2] if j + 2 < n else 0, ends[j - 2] if j > 1 else 0,
             size, mean_length, prose_share,
             min(20, j - last_common), min(20, next_common[j]), np.clip(j - title, -20, 20) if title >= 0 else -30,
-            " — " in v, ": " in v, math.log10(commons.share(commons.openings, opening(v)) + 1e-4),
-            sum(commons.share(commons.items, p) > 0.02 for p in parts) / len(parts), max(math.log10(commons.share(commons.items, p) + 1e-4) for p in parts),
+            " — " in v, ": " in v, commons.log_share("o", opening(v)),
+            sum(commons.share("i", p) > 0.02 for p in parts) / len(parts), max(commons.log_share("i", p) for p in parts),
             commons.prose.get(keys[j], -1), commons.places.get(keys[j], -1), min(20, j - last_head) if last_head >= 0 else 25, j in head_set,
             j - first_prose if first_prose >= 0 else -40, j - last_prose if last_prose >= 0 else 40,
             most_common, v[:1].isupper(), title >= 0, len(lines[j + 1]) if j + 1 < n else 0,
+            dense[min(n, j + 4)] - dense[j + 1 if j + 1 < n else n], dense[j] - dense[max(0, j - 3)], dense[n] - dense[j], dense[j], n - j, heads_run[j],
+            named[j], named[j + 1] if j + 1 < n else -5, named[j + 2] if j + 2 < n else -5, named[j - 1] if j else -5, last_named == j, commons.covered(v) if not ends[j] else 0,
+            *(bool(t.search(v)) for t in _TOKENS),
         )
         if j in head_set:
             last_head = j
@@ -270,10 +243,10 @@ def features(text: str, commons: Commons) -> tuple[list[int], list[str], np.ndar
 
 
 class Trees:
-    """Gradient-boosted regression trees on the logistic loss, by histograms of at most 32 bins."""
+    """Gradient-boosted regression trees on the logistic loss, by histograms of at most 32 bins; each tree sees ``bag`` rows at random."""
 
-    def __init__(self, rounds: int = 70, depth: int = 4, rate: float = 0.2, least: int = 20):
-        self.rounds, self.depth, self.rate, self.least = rounds, depth, rate, least
+    def __init__(self, rounds: int = 80, depth: int = 4, rate: float = 0.2, least: int = 20, bag: int = 10_000):
+        self.rounds, self.depth, self.rate, self.least, self.bag = rounds, depth, rate, least, bag
         self.trees: list[list[tuple]] = []
         self.base = 0.0
 
@@ -286,15 +259,18 @@ class Trees:
         cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 33)[1:-1])) for f in range(x.shape[1])]
         bins = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], 1).astype(np.int16)
         score = np.full(len(y), self.base)
+        rng = np.random.default_rng(7)
         for _ in range(self.rounds):
             q = 1 / (1 + np.exp(-score))
             g, h = y - q, q * (1 - q)
             tree: list[tuple] = []
-            self._grow(tree, np.arange(len(y)), bins, cuts, g, h, 0, score)
+            rows = np.sort(rng.choice(len(y), self.bag, replace=False)) if len(y) > self.bag else np.arange(len(y))
+            self._grow(tree, rows, bins, cuts, g, h, 0)
+            self._add(tree, 0, np.arange(len(y)), x, score)
             self.trees.append(tree)
         return self
 
-    def _grow(self, tree, rows, bins, cuts, g, h, depth, score) -> int:
+    def _grow(self, tree, rows, bins, cuts, g, h, depth) -> int:
         place = len(tree)
         gs, hs = g[rows].sum(), h[rows].sum()
         best = (1e-3, None, None)
@@ -314,13 +290,12 @@ class Trees:
         if best[1] is None:
             value = self.rate * gs / (hs + 1)
             tree.append((-1, 0.0, 0, 0, value))
-            score[rows] += value
             return place
         _, f, k = best
         tree.append(None)
         left = bins[rows, f] <= k
-        a = self._grow(tree, rows[left], bins, cuts, g, h, depth + 1, score)
-        b = self._grow(tree, rows[~left], bins, cuts, g, h, depth + 1, score)
+        a = self._grow(tree, rows[left], bins, cuts, g, h, depth + 1)
+        b = self._grow(tree, rows[~left], bins, cuts, g, h, depth + 1)
         tree[place] = (f, float(cuts[f][k]), a, b, 0.0)
         return place
 
@@ -360,19 +335,12 @@ def decode(odds: np.ndarray, lines: list[str] | None = None, bridge: float = 1.2
     kept = [i for i in range(region[0], region[1] + 1) if odds[i] > 0]
     if lines is None or not kept:
         return kept
-    kept = [i for i in kept if not _is_link(lines[i])]
-    if not kept:
-        return kept
     # a body has its headline before it, unless nothing there could be one
     first = lines[kept[0]]
     plain = bool(_END.search(first)) or first.endswith((";", ":")) or bool(_BULLET.match(first)) or " | " in first
-    for i in range(kept[0] - 1, max(-1, kept[0] - 5), -1):
-        named = kind(lines[i])
-        if named in ("link", "ad", "meta", "share"):
-            continue
-        if named is None and odds[i] > (-2.7 if plain else -1.0) and not _END.search(lines[i]) and len(lines[i]) > 8:
-            kept.insert(0, i)
-        break
+    above = [i for i in range(max(0, kept[0] - 4), kept[0]) if odds[i] > (-2.7 if plain else -1.0) and not _END.search(lines[i]) and len(lines[i]) > 8]
+    if above:
+        kept.insert(0, max(above, key=lambda i: odds[i]))
     return kept
 
 
@@ -396,29 +364,64 @@ def commons_of(pages: DataFrame, common: float = COMMON) -> tuple[Commons, DataF
         .agg(F.count("*").alias("n"), F.avg("prose").alias("prose"), F.avg("place").alias("place"))
         .where(F.col("n") >= 2)
     )
+    listed = (F.col("n") >= least) | ((F.col("t") == "i") & (F.col("n") > MENU * n))
     rare = None
     if least > 2:
         ensure_checkpoint_dir(pages.sparkSession)
         stats = stats.checkpoint()
-        rare = stats.where(F.col("n") < least).select(F.unhex(F.md5(F.concat("t", "k"))).alias("d"), "n", "prose", "place")
-    tables: dict[str, dict] = {"l": {}, "i": {}, "o": {}}
+        rare = stats.where(~listed).select(F.unhex(F.md5(F.concat("t", "k"))).alias("d"), "n", "prose", "place")
+    tables: dict[str, dict] = {t: {} for t in TABLES}
     prose, places = {}, {}
-    for r in stats.where(F.col("n") >= least).collect():
+    for r in stats.where(listed).collect():
         tables[r["t"]][r["k"]] = r["n"]
         if r["t"] == "l":
             prose[r["k"]], places[r["k"]] = r["prose"], r["place"]
-    return Commons(n, tables["l"], tables["i"], tables["o"], prose, places), rare
+    return Commons(n, tables, prose, places), rare
+
+
+def count_locally(texts: list[str]) -> Commons:
+    """What ``commons_of`` gives, for a list of pages."""
+    tables: dict[str, Counter] = {t: Counter() for t in TABLES}
+    prose, places = Counter(), Counter()
+    for text in texts:
+        for t, k, follows, place in page_stats(text):
+            tables[t][k] += 1
+            if t == "l":
+                prose[k] += follows
+                places[k] += place
+    often = {t: {k: n for k, n in c.items() if n > 1} for t, c in tables.items()}
+    return Commons(len(texts), often, {k: prose[k] / n for k, n in often["l"].items()}, {k: places[k] / n for k, n in often["l"].items()})
+
+
+@lru_cache(maxsize=1)
+def invented() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the invented pages, in sets of different size and number of sites."""
+    parts = []
+    for seed, (count, sites) in enumerate(((550, 40), (250, 20), (150, 50), *((40, 1),) * 6), 11):
+        made = page_table.pages(count, seed, sites)
+        texts = [t for t, _ in made]
+        own = count_locally(texts)
+        parts += [(features(text, own)[2], np.array(y, float)) for text, y in made]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+@lru_cache(maxsize=1)
+def first_trees() -> Trees:
+    return Trees().fit(*invented())
 
 
 def train(sample: list[str], commons: list[Commons]) -> Trees:
-    """Trees of the sample pages, each with its counts."""
-    xs, ys = [], []
-    for text, own in zip(sample, commons):
-        _, lines, x = features(text, own)
-        if len(lines):
+    """Trees of the invented pages, then of these and the sample pages as the first trees and the decoding see them."""
+    x0, y0 = invented()
+    first = first_trees()
+    parts = [features(text, own)[1:] for text, own in zip(sample, commons)]
+    xs, ys = [x0], [y0]
+    for lines, x in parts:
+        if lines:
+            kept = set(decode(first.odds(x), lines))
             xs.append(x)
-            ys.append(np.array(label(lines), float))
-    return Trees().fit(np.concatenate(xs), np.concatenate(ys)) if xs else Trees()
+            ys.append(np.array([j in kept for j in range(len(lines))], float))
+    return Trees().fit(np.concatenate(xs), np.concatenate(ys))
 
 
 _STATE: dict[str, tuple[Commons, Trees]] = {}
@@ -435,7 +438,9 @@ def keep_lines(pages: DataFrame, sample: int = SAMPLE, common: float = COMMON) -
     """``(content_id, line_no from 1)`` of the lines to keep of ``pages(content_id, text)``."""
     rows = pages.select("content_id", "text").where(F.col("text").isNotNull())
     commons, rare = commons_of(rows, common)
-    chosen = rows.orderBy(F.xxhash64("content_id"), "content_id").limit(sample).collect()
+    chosen = rows.orderBy(F.xxhash64("content_id"), "content_id").limit(sample)
+    total = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("content_id"), "content_id"))
+    chosen = chosen.withColumn("_size", total).where(F.col("_size") <= SAMPLE_CHARS).drop("_size").collect()
     if rare is not None:
         few = pages.sparkSession.createDataFrame(chosen, rows.schema)
         chosen = _with_commons(few, commons, rare).orderBy(F.xxhash64("content_id"), "content_id").collect()

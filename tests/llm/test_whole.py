@@ -67,14 +67,37 @@ def test_rare_lines_count_as_listed_ones(spark, sf):
     assert any(kind == "header" for _, _, kind in lines[0]) and lines[0] == lines[1]
 
 
+def test_trees_on_pages_of_other_sites():
+    """Held-out accuracy: sites, their habits and texts are not those of the training pages."""
+    from sievemark.llm import page_table
+
+    made = page_table.pages(300, 977, 25)
+    commons = mainbody.count_locally([t for t, _ in made])
+    trees, hit, found, true = mainbody.first_trees(), 0, 0, 0
+    for text, body in made:
+        _, lines, x = mainbody.features(text, commons)
+        kept = set(mainbody.decode(trees.odds(x), lines))
+        own = {j for j, y in enumerate(body) if y}
+        hit, found, true = hit + len(kept & own), found + len(kept), true + len(own)
+    assert hit / found > 0.97 and hit / true > 0.97
+
+
+def test_page_table_is_not_taken_from_the_test_tables(spark, sf):
+    """Lines of invented pages' surroundings do not stand on the test pages, but for single everyday words."""
+    from sievemark.llm import page_table
+
+    pages = {x.strip().lower() for r in _pages(spark, sf.replace("0.001", "0.01")).select("text").collect() for x in r["text"].split("\n")}
+    own = {x.lower() for n in ("_SIDE", "_FOOT", "_COOKIE", "_META", "_SHARE", "_LINK", "_AD", "_SLOGAN", "_SUBJECTS") for x in getattr(page_table, n)}
+    assert not own & pages
+
+
 def test_odds_decide_on_lines_like_surroundings():
     lines = [
         "Отопление — работы идут по графику", "Реклама лекарств в аптеках разрешена, " + "если знак стоит на каждом листе, " * 4 + "как и прежде.", "Политика конфиденциальности обсуждалась на встрече жильцов.",
         "Файлы cookie хранит сам читатель.", "Читайте также: Сроки ответа на запрос", "Реклама. Разбор инцидента", "Конец рассказа о доме.",
     ]
-    odds = np.array([2.0, 2.0, 2.0, 2.0, 0.3, 0.3, 2.0])
+    odds = np.array([2.0, 2.0, 2.0, 2.0, -0.3, -0.3, 2.0])
     assert mainbody.decode(odds, lines) == [0, 1, 2, 3, 6]
-    assert mainbody.kind(lines[1]) is None and mainbody.kind(lines[5]) == "ad"
 
 
 def test_words_are_decoded_by_cost():
