@@ -3,10 +3,11 @@
 1. Page furniture: lines that hold only a page number, in one of the usual
    styles and in a running order, and running headers and footers, told by
    their repetition within a document and at page edges over the corpus.
-2. Words broken at a line end are joined first, with or without the hyphen, by
-   word frequencies of the whole corpus.  The other tokens of a line are decoded
-   jointly by Viterbi over word costs: a token is kept, has one or two letters
-   exchanged, is split in two or is merged with the next one.
+2. What is left is one stream of characters without its lines.  Its words are
+   decoded jointly by Viterbi over a lattice of word costs, which are those of
+   word frequencies of the whole corpus: a token is kept, has one or two letters
+   exchanged, is split in two, is merged with the next one over a blank or a
+   line end, or is joined to it over a line end's hyphen, which goes or stays.
 3. Paragraph boundaries are chosen by dynamic programming over the lines.
 
 The word list holds the words of a relative frequency of at least ``RARE``, so
@@ -40,6 +41,8 @@ RATIO = 40
 EXCHANGE = math.log(RATIO)
 #: The cost of a blank that was read too much or too little.
 BLANK = 10.0
+#: A line end without a hyphen inside a word costs so many blanks.
+LINE = 1.4
 
 # fixed values: hyphens that end a broken line; the second group is never part of a word
 _HYPHENS = "-‐¬\xad"
@@ -131,12 +134,13 @@ def page_numbers(lines: list[str]) -> set[int]:
             best = chains[n]
     if len(best) > 1:
         return set(best) & alone
-    return {k for k, n in bare if k in alone and n < 100 and (k in solid[-2:] or k == solid[0] or len(bare) == 1)}
+    # at the text's own edges any number but a year may be one; a lone one inside it only if it is small, as figures of the text stand there too
+    return {k for k, n in bare if k in alone and ((k in solid[-2:] or k == solid[0]) and not 1900 <= n < 2100 or len(bare) == 1 and n < 100)}
 
 
 def _candidate(line: str) -> bool:
     text = line.strip()
-    return 4 <= len(text) <= 80 and not _SENTENCE_END.search(text) and text[-1] not in _HYPHENS and sum(c.isalpha() for c in text) >= 4
+    return bool(text) and not _SENTENCE_END.search(text) and text[-1] not in _HYPHENS and sum(c.isalpha() for c in text) >= 3
 
 
 def _parts(line: str) -> list[str]:
@@ -192,6 +196,7 @@ class Lexicon:
     counts: dict[str, int]
     total: int
     _cache: dict[str, str | None] = field(default_factory=dict)
+    _tokens: dict[str, tuple[float, str, bool, bool]] = field(default_factory=dict)
 
     def __post_init__(self):
         #: the cost of the most frequent word
@@ -212,6 +217,17 @@ class Lexicon:
     def known(self, word: str) -> bool:
         return word in self.counts
 
+    def token(self, token: str) -> tuple[float, str, bool, bool]:
+        """A token by itself: its cost, how it reads, whether it is misread, whether it is of plain Cyrillic letters."""
+        if (got := self._tokens.get(token)) is None:
+            if len(self._tokens) > 200_000:
+                self._tokens.clear()
+            plain = token.isalpha() and not _FOREIGN_LETTER.search(token)
+            marks: set[int] = set()
+            fixed = _fix_token(token, 0, self, marks)
+            got = self._tokens[token] = (self.reading(token) if plain else 0.0, fixed, bool(marks), plain)
+        return got
+
     def correct(self, word: str) -> str | None:
         """What a misread word (letters only, as printed) reads in lower case; '' if it is misread beyond that; None if it stands."""
         if len(self._cache) > 200_000:
@@ -254,27 +270,21 @@ class Lexicon:
                 yield word[:k] + other + word[k + 1 :]
 
 
-def is_break(left: str, right: str, mark: str, lexicon: Lexicon) -> bool:
-    """Does the mark at a line's end go when ``left`` and ``right`` are joined?"""
+def break_costs(left: str, right: str, mark: str, lexicon: Lexicon) -> tuple[float, float]:
+    """Costs of joining ``left`` and ``right`` over a line end without and with the mark between them."""
+    never = math.inf
     if mark in _SOFT:
-        return True
+        return 0.0, never
     l, r = left.lower(), right.lower()
     if not l[-1:].isalpha() or not r[:1].isalpha() or (left.isupper() and len(left) < 4 and not right.isupper()):
-        return False
-    if not r[:1].islower() or not right[:1].islower():
-        return right.isupper() and left.isupper() and len(left) > 1 and lexicon.known(l + r)
-    tail = l.rsplit("-", 1)[-1]
-    head = r.split("-", 1)[0]
-    together, apart = lexicon.p(tail + head), lexicon.p(f"{tail}-{head}")
-    if together or apart:
-        return together >= apart
-    c1, c2 = lexicon.correct(tail + head), None
-    if c1 is None:
-        c2 = lexicon.correct(f"{tail}{head}")
-    if c1 or c2:
-        return True
-    both = lexicon.p(tail) > 2e-5 and lexicon.p(head) > 2e-5 and len(tail) > 3 and len(head) > 3
-    return not both
+        return never, 0.0
+    if not right[:1].islower():
+        goes = right.isupper() and left.isupper() and len(left) > 1 and lexicon.known(l + r)
+        return (0.0, never) if goes else (never, 0.0)
+    tail, head = l.rsplit("-", 1)[-1], r.split("-", 1)[0]
+    compound = f"{tail}-{head}"
+    stays = lexicon.cost(compound) if lexicon.known(compound) else lexicon.cost(tail) + lexicon.cost(head)
+    return lexicon.reading(tail + head), stays
 
 
 @dataclass
@@ -293,78 +303,97 @@ def decode(text: str, lexicon: Lexicon, known: frozenset[str]) -> Decoded:
     head = headers(lines, numbers, known)
     running = [k for k in range(len(lines)) if k not in numbers and k not in head]
     solid = [k for k in running if lines[k].strip()]
-    following = dict(zip(solid, solid[1:]))
+    stream = "\n".join(lines[k] for k in solid)
+    found = [m.span() for m in _CORE.finditer(stream)]
+    words = [stream[a:b] for a, b in found]
     hyphens: set[int] = set()
     misread: set[int] = set()
-    fixed: dict[int, str] = {}
-    skip: dict[int, int] = {}  # characters of a line that belong to the word before
-    carried: dict[int, str] = {}
-    for k in solid:
-        line = lines[k]
-        m, nxt = _END.search(line), following.get(k)
-        body_end = len(line)
-        joined = None
-        if m and nxt is not None and (line[: m.start(2)].strip()):
-            first = _BEGIN.match(lines[nxt])
-            if first:
-                left, right = m.group(1), first.group(1)
-                goes = is_break(left, right, m.group(2), lexicon)
-                if goes:
-                    hyphens.add(k)
-                body_end = m.start(1)
-                joined = (left, right, goes, first.end())
-        start = skip.get(k, 0)
-        out, at = [carried.get(k, "")], start
-        found = [t.span() for t in _CORE.finditer(line, start, body_end)]
-        for a, b, cut in best_path(line, found, lexicon):
-            out.append(line[at : found[a][0]])
-            at = found[b - 1][1]
-            word = line[found[a][0] : at]
-            if cut or b - a > 1:
-                misread.add(k)
-                words = [word[:cut], word[cut:]] if cut else [word.replace(" ", "")]
-                out.append(" ".join(_fix_token(w, k, lexicon, misread) for w in words))
+    buffers: list[list[str]] = [[]]  # of each solid line
+    at = 0
+    for i, j, way in best_path(words, [stream[x:y] for (_, x), (y, _) in zip(found, found[1:])], lexicon):
+        for n, part in enumerate(stream[at : found[i][0]].split("\n")):
+            if n:
+                buffers.append([])
+            buffers[-1].append(part)
+        k, out = solid[len(buffers) - 1], buffers[-1]
+        at = found[j - 1][1]
+        if way in (GOES, STAYS):
+            if way == GOES:
+                hyphens.add(k)
+            nxt = solid[len(buffers)]
+            out.append(_join(words[i], words[i + 1], way == GOES, k, nxt, lexicon, misread))
+            buffers.append([])
+            while stream[at : at + 1] in (" ", "\t"):
+                at += 1
+        elif way == MERGED:
+            out.append("".join(words[i:j]))
+            if "\n" in stream[found[i][1] : found[i + 1][0]]:
+                buffers.append([])  # nothing was misread, a hyphen was lost
             else:
-                out.append(_fix_token(word, k, lexicon, misread))
-        out.append(line[at:body_end])
-        if joined:
-            left, right, goes, upto = joined
-            skip[nxt] = upto
-            word = _join(left, right, goes, k, nxt, lexicon, misread)
-            out.append(word)
-        fixed[k] = "".join(out).rstrip()
-        if joined:
-            carried[nxt] = ""
-    return Decoded(head, numbers, hyphens, misread, _paragraphs(lines, running, fixed))
-
-
-def best_path(line: str, found: list[tuple[int, int]], lexicon: Lexicon) -> list[tuple[int, int, int]]:
-    """The reading of least total cost of a line's tokens: ``(first, behind the last, place of a missing blank or 0)`` of each word.
-
-    A token stands or is corrected, is split in two, or is merged with the next one.
+                misread.add(k)
+        elif way:
+            misread.add(k)
+            out.append(" ".join(lexicon.token(w)[1] for w in (words[i][:way], words[i][way:])))
+        else:
+            _, fixed, bad, _ = lexicon.token(words[i])
+            if bad:
+                misread.add(k)
+            out.append(fixed)
+    for n, part in enumerate(stream[at:].split("\n")):
+        if n:
+            buffers.append([])
+        buffers[-1].append(part)
+    fixed_lines = {k: "".join(parts).rstrip() for k, parts in zip(solid, buffers)}
+    return Decoded(head, numbers, hyphens, misread, _paragraphs(lines, running, fixed_lines))
+
+
+GOES, STAYS, MERGED = -1, -2, -3
+
+
+def best_path(words: list[str], gaps: list[str], lexicon: Lexicon) -> list[tuple[int, int, int]]:
+    """The reading of least total cost of a text's tokens: ``(first, behind the last, way)`` of each word.
+
+    ``gaps`` are what stands between the tokens.  The way is 0 for a token by
+    itself, as it stands or corrected; the place of a missing blank; or
+    ``GOES``, ``STAYS`` (the hyphen of a line end) and ``MERGED`` for two.
     """
-    n = len(found)
-    words = [line[a:b] for a, b in found]
-    plain = [w.isalpha() and not _FOREIGN_LETTER.search(w) for w in words]
-    best, back = [0.0] + [math.inf] * n, [(0, 0)] * (n + 1)
+    n = len(words)
+    best, back = [0.0] * (n + 1), [(0, 0)] * (n + 1)
+    floor = BLANK + lexicon.least
+    before = (0.0, "", False, False)
+    counts, cost = lexicon.counts, lexicon.cost
+    gap = ""
     for i, w in enumerate(words):
-        alone = lexicon.reading(w) if plain[i] else 0.0
-        if (c := best[i] + alone) < best[i + 1]:
-            best[i + 1], back[i + 1] = c, (i, 0)
-        if plain[i] and alone > BLANK + 2 * lexicon.least:
-            low = w.lower()
+        own = lexicon.token(w)
+        alone = own[0]
+        low, way, first = best[i] + alone, 0, i
+        if i:
+            gap = gaps[i - 1]
+            mark = gap.strip() if "\n" in gap else ""
+            if len(mark) == 1 and mark in _HYPHENS and gap.count("\n") == 1 and gap[0] == mark:
+                goes, stays = break_costs(words[i - 1], w, mark, lexicon)
+                low = math.inf  # the mark is decided on, whatever else is cheap
+                for c, own_way in ((best[i - 1] + goes, GOES), (best[i - 1] + stays, STAYS)):
+                    if c < low:
+                        low, way, first = c, own_way, i - 1
+                if back[i][1] in (GOES, STAYS) and back[i][0] == i - 2:  # the token before is the end of a broken word itself
+                    low, way, first = best[i] + alone, 0, i
+            elif own[3] and before[3] and before[0] + alone > floor and w.islower() and (gap == " " or gap == "\n"):
+                both = words[i - 1].lower() + w
+                if both in counts and (c := best[i - 1] + BLANK * (1 if gap == " " else LINE) + cost(both)) < low:
+                    low, way, first = c, MERGED, i - 1
+        if own[3] and alone > floor + lexicon.least and len(w) > 1:
+            text = w.lower()
             for cut in range(1, len(w)):
-                if lexicon.known(low[:cut]) and lexicon.known(low[cut:]) and (c := best[i] + BLANK + lexicon.cost(low[:cut]) + lexicon.cost(low[cut:])) < best[i + 1]:
-                    best[i + 1], back[i + 1] = c, (i, cut)
-        if i and plain[i] and plain[i - 1] and w.islower() and line[found[i - 1][1] : found[i][0]] == " ":
-            both = (words[i - 1] + w).lower()
-            if lexicon.known(both) and (c := best[i - 1] + BLANK + lexicon.cost(both)) < best[i + 1]:
-                best[i + 1], back[i + 1] = c, (i - 1, 0)
+                if text[:cut] in counts and text[cut:] in counts and (c := best[i] + BLANK + cost(text[:cut]) + cost(text[cut:])) < low:
+                    low, way, first = c, cut, i
+        best[i + 1], back[i + 1] = low, (first, way)
+        before = own
     out, i = [], n
     while i:
-        a, cut = back[i]
-        out.append((a, i, cut))
-        i = a
+        first, way = back[i]
+        out.append((first, i, way))
+        i = first
     return out[::-1]
 
 
@@ -470,16 +499,28 @@ def word_counts(texts: DataFrame, rare: float = RARE) -> tuple[dict[str, int], i
         import pyarrow as pa
 
         acc: Counter[str] = Counter()
+        raw: Counter[str] = Counter()
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array(list(acc), pa.string()), pa.array(list(acc.values()), pa.int64())], names=["w", "n"])
 
+        def of_tokens():
+            """Words of the tokens counted; what is left of a word broken at a line end counts for nothing."""
+            for token, n in raw.items():
+                if token[-1] not in _HYPHENS:
+                    for w in _WORD.findall(token):
+                        acc[w] += n
+            raw.clear()
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                acc.update(_WORD.findall(re.sub(rf"[\w^]+[{_HYPHENS}]\s*\n", "\n", text.lower())))
+                raw.update(text.lower().split())
+                if len(raw) > 300_000:
+                    of_tokens()
             if len(acc) > 300_000:
                 yield flush()
                 acc.clear()
+        of_tokens()
         if acc:
             yield flush()
 

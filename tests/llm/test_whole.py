@@ -109,3 +109,7 @@ def test_words_are_decoded_by_cost():
     got = [scans.decode(x, lexicon, frozenset()) for x in lines]
     assert [d.text for d in got] == read
     assert [bool(d.misread) for d in got] == [True, True, True, True, False, False]
+    # one lattice over line ends: a hyphen goes, stays, or was lost
+    text = "в рассмо-\nтрении дела, в интер-\nакт и листы, напри\nмер акт"
+    d = scans.decode(text, scans.Lexicon(counts | {"интер-акт": 50}, 1_000_000), frozenset())
+    assert d.text == "в рассмотрении дела, в интер-акт и листы, например акт" and d.hyphens == {0} and not d.misread
