@@ -28,6 +28,7 @@ import uuid
 from collections import Counter
 
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -48,16 +49,17 @@ _END = re.compile(r"[.!?…][»”\")]*$")
 
 # fixed values: stems of words that name a page's furniture on any site, by what they speak of; features of a line as a tag's attributes would be
 TOKENS = {
-    "cookie": r"cookie|статистик|\bок\b|\bok\b|соглас",
-    "rights": r"©|copyright|\bправ|соглашен|конфиденц|перепечат|редакци|оферт|услови|terms|privacy|закон",
-    "site": r"сайт|портал|журнал|газет|магазин|разработ|поддержк|рассылк|соц|наверх|вверх|\bсети\b|ошибк|опечатк",
-    "share": r"печат|pdf|поделит|ссылк|друз|избранн|скача|закладк|слуша|share|print",
-    "meta": r"автор|просмотр|опублик|обновл|\bтег|метк|рейтинг|оцен|коммент|\bмин\b|минут|★|views|posted|\bтекст\b|\bфото\b|\d\d:\d\d|\d\d\.\d\d\.\d{4}",
-    "more": r"по теме|на тему|читайте|читать|смотрите|похож|рекоменд|подробн|ещё|раньше|read more|see also",
-    "ad": r"реклам|спонсор|партн[её]р|промо|объявлен",
-    "home": r"главная|home|вы здесь|вы тут",
+    "cookie": "cookie статистик соглас",
+    "rights": "© copyright правил права прав. соглашен конфиденц перепечат редакци оферт услови terms privacy закон",
+    "site": "сайт портал журнал газет магазин разработ поддержк рассылк соц наверх вверх ошибк опечатк",
+    "share": "печат pdf поделит ссылк друз избранн скача закладк слуша share print",
+    "meta": "автор просмотр опублик обновл теги метки рейтинг оцен коммент мин. минут ★ views posted текст: фото:",
+    "more": "теме тему читайте читать смотрите похож рекоменд подробн ещё раньше more also",
+    "ad": "реклам спонсор партнёр партнер промо объявлен",
+    "home": "главная home здесь тут:",
 }
-_TOKENS = [re.compile(v, re.I) for v in TOKENS.values()]
+_TOKENS = [tuple(v.split()) for v in TOKENS.values()]
+_TIME = re.compile(r"\d\d?[.:]\d\d")
 
 
 def key(line: str) -> str:
@@ -135,17 +137,15 @@ class Commons:
 
 def page_stats(text: str):
     """``(table, key, followed by prose, place)`` of one page, each key once."""
-    lines = [x for x in text.split("\n") if x.strip()]
+    infos = [_info(y) for x in text.split("\n") if (y := x.strip())]
     seen = set()
-    n = len(lines)
-    for i, line in enumerate(lines):
-        k = key(line)
+    n = len(infos)
+    for i, (k, first_words, items, name, *_) in enumerate(infos):
         if ("l", k) not in seen:
             seen.add(("l", k))
-            follows = i + 1 < n and bool(_END.search(lines[i + 1]))
-            yield "l", k, float(follows), i / n
-        own = [("i", item) for item in _items(line)] + [("o", opening(line))]
-        if (name := tail(line)) is not None:
+            yield "l", k, float(i + 1 < n and infos[i + 1][4]), i / n
+        own = [("i", item) for item in items] + [("o", first_words)]
+        if name is not None:
             own += [("t", key(name)), ("t", "o " + opening(name))]
         for tk in own:
             if tk not in seen:
@@ -157,12 +157,32 @@ def _asked(text: str) -> set[tuple[str, str]]:
     out = set()
     for line in text.split("\n"):
         if line := line.strip():
-            k, o = key(line), opening(line)
-            out |= {("l", k), ("o", o), ("t", k), ("t", "o " + o), *(("i", x) for x in _items(line))}
+            k, o, items = _info(line)[:3]
+            out |= {("l", k), ("o", o), ("t", k), ("t", "o " + o), *(("i", x) for x in items)}
     return out
 
 
-FEATURES = 52 + len(TOKENS)
+FEATURES = 53 + len(TOKENS)
+_SENTENCES = re.compile(r"[.!?…]\s+[А-ЯЁA-Z]")
+_INFO: dict[str, tuple] = {}
+
+
+def _info(v: str) -> tuple:
+    """What a line says by itself: key, opening, items, named page, end of a sentence, bullet, and features."""
+    if (got := _INFO.get(v)) is not None:
+        return got
+    low, ends, bullet, items = v.lower(), bool(_END.search(v)), bool(_BULLET.match(v)), _items(v)
+    own = (
+        math.log1p(len(v)), len(v.split()), ends, v[-1] in ";:", v[:1].islower(), bullet, v.count(" | "), len(items),
+        len(_SENTENCES.findall(v)), sum(map(str.isdigit, v)) / len(v), " — " in v, ": " in v, v[:1].isupper(), bool(_TIME.search(v)),
+        *(any(t in low for t in own) for own in _TOKENS),
+    )
+    got = (key(v), opening(v), items or [key(v)], tail(v), ends, bullet, np.array(own, np.float32))
+    if len(v) < 120:
+        if len(_INFO) > 100_000:
+            _INFO.clear()
+        _INFO[v] = got
+    return got
 
 
 def features(text: str, commons: Commons) -> tuple[list[int], list[str], np.ndarray]:
@@ -174,9 +194,10 @@ def features(text: str, commons: Commons) -> tuple[list[int], list[str], np.ndar
     x = np.zeros((n, FEATURES), np.float32)
     if not n:
         return at, lines, x
-    keys = [key(v) for v in lines]
+    infos = [_info(v) for v in lines]
+    keys = [f[0] for f in infos]
     share = [commons.log_share("l", k) for k in keys]
-    ends = [bool(_END.search(v)) for v in lines]
+    ends = [f[4] for f in infos]
     block, blocks = [], []
     for j, i in enumerate(at):
         if j and i == at[j - 1] + 1:
@@ -184,8 +205,8 @@ def features(text: str, commons: Commons) -> tuple[list[int], list[str], np.ndar
         else:
             blocks.append([j])
         block.append(len(blocks) - 1)
-    tails = {t for v in lines if (t := tail(v)) is not None}
-    named = [max(commons.log_share("t", keys[j]), commons.log_share("t", "o " + opening(v))) if len(v) < 120 else -4.0 for j, v in enumerate(lines)]
+    tails = {f[3] for f in infos if f[3] is not None}
+    named = [max(commons.log_share("t", keys[j]), commons.log_share("t", "o " + infos[j][1])) if len(v) < 120 else -4.0 for j, v in enumerate(lines)]
     title = next((j for j in range(n) if lines[j] in tails), -1)
     common = [j for j in range(n) if share[j] > -2.2]
     # a side column's head: common, in the page's middle, not followed by prose
@@ -202,34 +223,32 @@ def features(text: str, commons: Commons) -> tuple[list[int], list[str], np.ndar
     head_set = set(heads)
     last_named = next((j for j in range((first_prose if first_prose >= 0 else n) - 1, -1, -1) if named[j] > -3.0), -1)
     # how much prose lies near, before and after; how long the run of heading-like lines is that a line is in
-    dense = np.concatenate([[0], np.cumsum([min(len(v), 400) / 100 if ends[j] and len(v) > 60 else 0.0 for j, v in enumerate(lines)])])
+    dense = [0.0, *accumulate(min(len(v), 400) / 100 if ends[j] and len(v) > 60 else 0.0 for j, v in enumerate(lines))]
     heads_run, j = [0] * n, 0
     while j < n:
         i = j
-        while i < n and not ends[i] and lines[i][-1] not in ";:" and not _BULLET.match(lines[i]):
+        while i < n and not ends[i] and lines[i][-1] not in ";:" and not infos[i][5]:
             i += 1
         for x_ in range(j, i):
             heads_run[x_] = i - j
         j = max(i, j + 1)
     of_block = [(len(b), sum(len(lines[i]) for i in b) / len(b), sum(ends[i] for i in b) / len(b), max(share[i] for i in b)) for b in blocks]
     for j, v in enumerate(lines):
-        parts = _items(v) or [keys[j]]
+        _, first_words, parts, _, _, _, own = infos[j]
         size, mean_length, prose_share, most_common = of_block[block[j]]
-        x[j] = (
-            math.log1p(len(v)), len(v.split()), ends[j], v[-1] in ";:", v[:1].islower(), bool(_BULLET.match(v)), v.count(" | "), len(parts),
-            len(re.findall(r"[.!?…]\s+[А-ЯЁA-Z]", v)), sum(c.isdigit() for c in v) / len(v), share[j],
-            share[j - 1] if j else 0, share[j + 1] if j + 1 < n else 0, j / n, v in tails,
+        shares = [commons.share("i", p) for p in parts]
+        x[j, : len(own)] = own
+        x[j, len(own) :] = (
+            share[j], share[j - 1] if j else 0, share[j + 1] if j + 1 < n else 0, j / n, v in tails,
             ends[j - 1] if j else 0, ends[j + 1] if j + 1 < n else 0, ends[j + 2] if j + 2 < n else 0, ends[j - 2] if j > 1 else 0,
             size, mean_length, prose_share,
-            min(20, j - last_common), min(20, next_common[j]), np.clip(j - title, -20, 20) if title >= 0 else -30,
-            " — " in v, ": " in v, commons.log_share("o", opening(v)),
-            sum(commons.share("i", p) > 0.02 for p in parts) / len(parts), max(commons.log_share("i", p) for p in parts),
+            min(20, j - last_common), min(20, next_common[j]), max(-20, min(20, j - title)) if title >= 0 else -30,
+            commons.log_share("o", first_words), sum(q > 0.02 for q in shares) / len(parts), math.log10(max(shares) + 1e-4),
             commons.prose.get(keys[j], -1), commons.places.get(keys[j], -1), min(20, j - last_head) if last_head >= 0 else 25, j in head_set,
             j - first_prose if first_prose >= 0 else -40, j - last_prose if last_prose >= 0 else 40,
-            most_common, v[:1].isupper(), title >= 0, len(lines[j + 1]) if j + 1 < n else 0,
+            most_common, title >= 0, len(lines[j + 1]) if j + 1 < n else 0,
             dense[min(n, j + 4)] - dense[j + 1 if j + 1 < n else n], dense[j] - dense[max(0, j - 3)], dense[n] - dense[j], dense[j], n - j, heads_run[j],
             named[j], named[j + 1] if j + 1 < n else -5, named[j + 2] if j + 2 < n else -5, named[j - 1] if j else -5, last_named == j, commons.covered(v) if not ends[j] else 0,
-            *(bool(t.search(v)) for t in _TOKENS),
         )
         if j in head_set:
             last_head = j
@@ -257,7 +276,8 @@ class Trees:
             self.base = 6.0 if len(y) and y.min() else -6.0 if len(y) else 0.0
             return self
         cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 33)[1:-1])) for f in range(x.shape[1])]
-        bins = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], 1).astype(np.int16)
+        # bins of all features side by side, 32 each, so that one count makes all histograms of a node
+        bins = np.stack([32 * f + np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], 1).astype(np.int32)
         score = np.full(len(y), self.base)
         rng = np.random.default_rng(7)
         for _ in range(self.rounds):
@@ -275,25 +295,25 @@ class Trees:
         gs, hs = g[rows].sum(), h[rows].sum()
         best = (1e-3, None, None)
         if depth < self.depth and len(rows) >= 2 * self.least:
-            for f, c in enumerate(cuts):
-                if not len(c):
-                    continue
-                b = bins[rows, f]
-                gl = np.cumsum(np.bincount(b, g[rows], len(c) + 1))[:-1]
-                hl = np.cumsum(np.bincount(b, h[rows], len(c) + 1))[:-1]
-                nl = np.cumsum(np.bincount(b, minlength=len(c) + 1))[:-1]
-                gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
-                gain[(nl < self.least) | (len(rows) - nl < self.least)] = -1
-                k = int(gain.argmax())
-                if gain[k] > best[0]:
-                    best = (float(gain[k]), f, k)
+            own, width = bins[rows].ravel(), bins.shape[1]
+
+            def below(weights=None):
+                total = np.bincount(own, None if weights is None else np.repeat(weights[rows], width), 32 * width)
+                return np.cumsum(total.reshape(width, 32), 1)
+
+            gl, hl, nl = below(g), below(h), below()
+            gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
+            gain[(nl < self.least) | (len(rows) - nl < self.least)] = -1
+            f, k = divmod(int(gain.argmax()), 32)
+            if gain[f, k] > best[0] and k < len(cuts[f]):
+                best = (float(gain[f, k]), f, k)
         if best[1] is None:
             value = self.rate * gs / (hs + 1)
             tree.append((-1, 0.0, 0, 0, value))
             return place
         _, f, k = best
         tree.append(None)
-        left = bins[rows, f] <= k
+        left = bins[rows, f] <= 32 * f + k
         a = self._grow(tree, rows[left], bins, cuts, g, h, depth + 1)
         b = self._grow(tree, rows[~left], bins, cuts, g, h, depth + 1)
         tree[place] = (f, float(cuts[f][k]), a, b, 0.0)
