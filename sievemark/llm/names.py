@@ -1,22 +1,25 @@
 """Problem 4: freely typed headings mapped to a reference list by a prefix-filter set-similarity join.
 
-Each distinct heading is brought to a few plain forms (separators, numbering,
-look-alike letters, transliteration, word order and abbreviations settled);
-forms and reference entries become sets of letter pairs.  Pairs are ordered by
-global rarity, only the rare prefixes are joined, length and positional filters
-cut the candidates, Jaccard similarity is verified exactly, and the best entry
-that is also close in edits is kept; 0 stands for no entry.
-
-Defined results: null and blank headings give no row; a tie goes to the closer
-form, then the higher similarity, then the smaller ``ref_id``; with an empty
-reference list every heading gets 0; copies of a heading all get its entry.
+Each distinct heading is brought to its plain words (separators, numbering,
+look-alike letters and transliteration settled); a shortened word is spelt out
+as each entry has it that has a word so beginning, found by a join.  Headings
+and entries become sets of letter pairs within words, one to three places
+apart, and of first letters, so that the order of words does not count and a slip of the pen touches
+few pairs.  Pairs are ordered by global rarity, only the rare prefixes are
+joined, length and positional filters cut the candidates, Jaccard similarity is
+verified exactly, and the best entry is kept; 0 stands for no entry.
+
+The reference list stays a table; nothing of it is collected.
+
+Defined results: null and blank headings give no row; a tie goes to the smaller
+``ref_id``; with an empty reference list every heading gets 0; copies of a
+heading all get its entry.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import map_batches
 from .lookalike import INVISIBLE
 
-JACCARD = 0.35
-#: At most so many ways of spelling out the abbreviations of one heading are tried, the likeliest first.
-EXPANSIONS = 24
+JACCARD = 0.48
+#: A pair's letters stand at most so many places apart.
+APART = 3
 
 # fixed values: transliteration of Cyrillic letters
 _TRANSLIT = str.maketrans(
@@ -99,87 +102,70 @@ def latin(text: str) -> str:
     return _DIGRAPH.sub(lambda m: _ONE[m.group()], plain)
 
 
-def forms(heading: str, vocabulary: dict[str, tuple[str, ...]]) -> list[str]:
-    """Plain forms of a heading; ``vocabulary`` has the reference words by their first three letters."""
-    words = words_of(heading)
-    if not words:
-        return []
-    choices = []
-    for k, w in enumerate(words):
-        stem = latin(w)
-        full = [x for x in vocabulary.get(stem[:3], ()) if x.startswith(stem) and x != stem] if w.endswith(".") and len(stem) >= 3 else []
-        choices.append([stem, *full] if full else [stem])
-    spelled = [list(c) for _, c in zip(range(EXPANSIONS), product(*[c[::-1] for c in choices]))]
+def plain_words(heading: str) -> tuple[list[str], list[str]]:
+    """The heading's words in one alphabet, in alphabetical order, and those of them that are shortened."""
+    words, short = [], []
+    for w in words_of(heading):
+        if stem := latin(w):
+            words.append(stem)
+            if w.endswith(".") and len(stem) > 2:
+                short.append(stem)
+    return sorted(words), sorted(set(short))
+
+
+def grams(words: list[str]) -> list[str]:
+    """The set of letter pairs within words and of the words' first letters, repeated ones told apart by their number."""
+    seen: dict[str, int] = {}
     out = []
-    for parts in spelled:
-        parts = [p for p in parts if p]
-        for r in range(max(1, len(parts)) if len(parts) < 5 else 1):
-            out.append("".join(parts[r:] + parts[:r]))
-    return list(dict.fromkeys(x for x in out if x))
-
-
-def grams(form: str) -> list[str]:
-    """The set of letter pairs, repeated ones told apart by their number."""
-    padded, seen, out = f"^{form}$", {}, []
-    for a, b in zip(padded, padded[1:]):
-        n = seen[a + b] = seen.get(a + b, 0) + 1
-        out.append(f"{a}{b}{n}")
+    for word in words:
+        padded = f"^{word}$"
+        pairs = [a + b for k, a in enumerate(padded) for b in padded[k + 1 : k + 1 + APART]]
+        for g in (*pairs, f"^{word[:2]}", f"^{word[:3]}"):
+            n = seen[g] = seen.get(g, 0) + 1
+            out.append(f"{g}{n}")
     return out
 
 
-def edits(a: str, b: str, most: int) -> int:
-    """Edit distance with exchanged neighbours as one edit; more than ``most`` if it is more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, row = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            d = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
-            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            new.append(d)
-        before, row = row, new
-        if min(row) > most:
-            return most + 1
-    return row[-1]
+def _with_grams(forms: DataFrame) -> DataFrame:
+    """``forms(..., words)`` with their sets of pairs."""
+    keys = [c for c in forms.columns if c != "words"]
 
+    def run(cols):
+        return cols | {"grams": [grams(w) for w in cols["words"]]}
 
-def allowed(n: int) -> int:
-    """Edits allowed in an entry of ``n`` letters."""
-    return 0 if n < 4 else 1 if n < 6 else 2 if n < 10 else 3 if n < 15 else 4
+    types = dict(forms.dtypes)
+    return map_batches(forms.select(*keys, "words"), run, ", ".join(f"`{c}` {types[c]}" for c in [*keys, "words"]) + ", grams array<string>")
 
 
 def map_headings(headings: DataFrame, reference: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """``(field_name, ref_id)`` for every distinct value of ``headings.field_name`` that is neither null nor blank."""
-    entries = [(r["ref_id"], [r["label"], *(r["aliases"] or [])]) for r in _bounded(reference)]
-    known = [(i, f) for i, names in entries for name in names if name for f in ["".join(map(latin, words_of(name)))] if f]
-    vocabulary: dict[str, set[str]] = {}
-    for _, names in entries:
-        for name in names:
-            for w in words_of(name or ""):
-                if len(s := latin(w)) > 3:
-                    vocabulary.setdefault(s[:3], set()).add(s)
-    by_stem = {k: tuple(sorted(v)) for k, v in vocabulary.items()}
-    spark = headings.sparkSession
-
-    def spell(cols):
-        out = {"field_name": [], "form": [], "grams": []}
-        for name in cols["field_name"]:
-            for f in forms(name, by_stem):
-                out["field_name"].append(name)
-                out["form"].append(f)
-                out["grams"].append(grams(f))
-        return out
 
+    def read(cols):
+        parts = [plain_words(name) for name in cols["name"]]
+        return {"i": cols["i"], "name": cols["name"], "words": [p[0] for p in parts], "short": [p[1] for p in parts]}
+
+    schema = "i int, name string, words array<string>, short array<string>"
     distinct = headings.select("field_name").where(F.col("field_name").isNotNull() & F.col("field_name").rlike(r"(?U)\S")).distinct()
-    typed = map_batches(distinct, spell, "field_name string, form string, grams array<string>")
-    listed = spark.createDataFrame(
-        [(int(i), f, grams(f)) for i, f in dict.fromkeys(known)], "ref_id int, ref_form string, ref_grams array<string>"
-    )
-    rarity = (
-        typed.select(F.explode("grams").alias("g")).unionAll(listed.select(F.explode("ref_grams").alias("g"))).groupBy("g").agg(F.count("*").alias("n"))
+    typed = map_batches(distinct.select(F.lit(0).alias("i"), F.col("field_name").alias("name")), read, schema).where(F.size("words") > 0)
+    names = reference.select(F.col("ref_id").cast("int").alias("i"), F.explode(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where(F.col("name").isNotNull())
+    entries = map_batches(names, read, schema).where(F.size("words") > 0).select(F.col("i").alias("ref_id"), F.col("words").alias("ref_words")).distinct()
+
+    # a shortened word is spelt as an entry spells it: one more form for each entry that has such a word
+    stems = typed.select("name", "words", F.explode("short").alias("stem"))
+    full = entries.select("ref_words", F.explode("ref_words").alias("word")).distinct()
+    begins = (F.substring("stem", 1, 3) == F.substring("word", 1, 3)) & F.col("word").startswith(F.col("stem"))
+    spelt = (
+        stems.join(full, begins)
+        .groupBy("name", "words", "ref_words", "stem")
+        .agg(F.min("word").alias("word"))
+        .groupBy("name", "words", "ref_words")
+        .agg(F.map_from_entries(F.collect_list(F.struct("stem", "word"))).alias("m"))
+        .select("name", F.array_sort(F.transform("words", lambda w: F.coalesce(F.try_element_at("m", w), w))).alias("words"))
     )
+    forms = typed.select("name", "words").unionByName(spelt).distinct()
+    left_sets = _with_grams(forms.select("words").distinct())
+    right_sets = _with_grams(entries.select("ref_id", F.col("ref_words").alias("words"))).withColumnsRenamed({"words": "ref_words", "grams": "ref_grams"})
+    rarity = left_sets.select(F.explode("grams").alias("g")).unionAll(right_sets.select(F.explode("ref_grams").alias("g"))).groupBy("g").agg(F.count("*").alias("n"))
 
     def prefixes(sets: DataFrame, keys: list[str], col: str) -> DataFrame:
         """The rare prefix of every set: its first ``|s| - ceil(t |s|) + 1`` pairs in the order of rarity, with their places."""
@@ -193,50 +179,37 @@ def map_headings(headings: DataFrame, reference: DataFrame, jaccard: float = JAC
         length = (F.col("size") - F.ceil(F.col("size") * jaccard) + 1).cast("int")
         return ranked.select(*keys, "size", F.posexplode(F.slice("order", F.lit(1), length)).alias("place", "x")).select(*keys, "size", "place", F.col("x.g").alias("g"))
 
-    left = prefixes(typed.select("form", "grams").distinct(), ["form"], "grams")
-    right = prefixes(listed, ["ref_id", "ref_form"], "ref_grams").withColumnsRenamed({"size": "ref_size", "place": "ref_place"})
+    left = prefixes(left_sets, ["words"], "grams")
+    right = prefixes(right_sets, ["ref_id", "ref_words"], "ref_grams").withColumnsRenamed({"size": "ref_size", "place": "ref_place"})
     overlap = F.lit(jaccard) / (1 + jaccard) * (F.col("size") + F.col("ref_size"))
     candidates = (
         left.join(right, "g")
         .where((F.col("ref_size") >= F.col("size") * jaccard) & (F.col("ref_size") <= F.col("size") / jaccard))
         .where(1 + F.least(F.col("size") - F.col("place") - 1, F.col("ref_size") - F.col("ref_place") - 1) >= overlap - 1e-9)
-        .select("form", "ref_id", "ref_form")
+        .select("words", "ref_id", "ref_words")
         .distinct()
     )
 
     def verify(cols):
-        out = {"form": [], "ref_id": [], "distance": [], "similarity": []}
-        for form, i, entry in zip(cols["form"], cols["ref_id"], cols["ref_form"]):
-            a, b = set(grams(form)), set(grams(entry))
+        out = {"words": [], "ref_id": [], "similarity": []}
+        for words, i, entry in zip(cols["words"], cols["ref_id"], cols["ref_words"]):
+            a, b = set(grams(words)), set(grams(entry))
             similarity = len(a & b) / len(a | b)
-            if similarity < jaccard:
-                continue
-            most = allowed(len(entry))
-            d = edits(form, entry, most)
-            if d <= most:
-                for k, v in zip(out, (form, i, d / len(entry), similarity)):
+            if similarity >= jaccard:
+                for k, v in zip(out, (words, i, similarity)):
                     out[k].append(v)
         return out
 
-    verified = map_batches(candidates, verify, "form string, ref_id int, distance double, similarity double")
+    verified = map_batches(candidates, verify, "words array<string>, ref_id int, similarity double")
     best = (
-        typed.select("field_name", "form")
-        .join(verified, "form")
-        .groupBy("field_name")
-        .agg(F.min(F.struct("distance", (-F.col("similarity")).alias("s"), "ref_id")).alias("b"))
+        forms.join(verified, "words")
+        .groupBy(F.col("name").alias("field_name"))
+        .agg(F.min(F.struct((-F.col("similarity")).alias("s"), "ref_id")).alias("b"))
         .select("field_name", F.col("b.ref_id").alias("ref_id"))
     )
     return distinct.join(best, "field_name", "left").select("field_name", F.coalesce("ref_id", F.lit(0)).alias("ref_id"))
 
 
-def _bounded(reference: DataFrame, most: int = 100_000) -> list:
-    """The reference list, which is a list of field kinds: refused where it is larger than a driver should hold."""
-    rows = reference.select("ref_id", "label", "aliases").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"a reference list of more than {most} entries is no list of kinds")
-    return rows
-
-
 def map_rows(chunks: DataFrame, reference: DataFrame) -> DataFrame:
     """``(chunk_id, ref_id)`` of every row with a heading; hot headings are few distinct values, so one small table is joined back."""
     mapped = map_headings(chunks, reference)
