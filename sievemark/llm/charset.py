@@ -1,18 +1,19 @@
 """Problem 6: texts garbled by a wrong character set.
 
 1. Counts of adjacent character pairs over the whole corpus give the mutual
-   information of every pair, taken against a uniform marginal: garbled text
-   has its own alphabet, so marginals of the corpus would make its pairs look
-   normal.  A first count tells rows of mostly improbable pairs, a second one
-   leaves them out, so that garbled text does not vouch for itself.
-2. Pairs far below the usual information score positive, others negative;
-   maximum-scoring segments of a text are its improbable runs.
+   information of every pair against the marginals of its two characters.  A
+   first count tells rows of mostly improbable pairs, a second one leaves them
+   out, so that garbled text does not vouch for itself.  Characters that usual
+   rows hardly have count with the marginal of an even alphabet: their own
+   would make garbled text, which has an alphabet of its own, look normal.
+2. Pairs far below the usual mutual information score positive, others
+   negative; maximum-scoring segments of a text are its improbable runs.
 3. Only inside those runs (widened to whole tokens) the inverse mappings are
    tested: the characters go back to bytes by the wrong set and are read by the
    right one, up to two times.  A mapping holds if the result is free of
    improbable runs, coherent in script, and far more probable.
-4. Runs in which letters became replacement or question marks are named too;
-   these cannot be restored.
+4. Runs in which letters became replacement or question marks are named too,
+   inside the same segments; these cannot be restored.
 
 Pairs are kept by class (letter case folded, digits alike, rare code points
 hashed), so the table has at most ``CLASSES ** 2`` entries whatever the corpus.
@@ -26,6 +27,7 @@ from __future__ import annotations
 import codecs
 import re
 import uuid
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -45,7 +47,7 @@ SEGMENT = 4.0
 CASE_BREAK = 8.0
 #: A row is usual if its pairs hold at most this much more information than the corpus mean.
 USUAL = 0.8
-#: So many characters of a run are tried with all mappings.
+#: So many characters of a run are tried with all mappings at once, then the next ones.
 PROBE = 80
 #: The least information an inverse mapping must save.
 GAIN = 6.0
@@ -85,7 +87,10 @@ def tables():
 
 def codes_of(text: str) -> np.ndarray:
     a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.minimum(a, 0xFFFF).astype(np.uint16) if len(a) else np.empty(0, np.uint16)
+    if not len(a):
+        return np.empty(0, np.uint16)
+    # code points beyond the first plane stand in the private area, so that they too fall into the classes of rare ones
+    return np.where(a > 0xFFFF, 0xE000 + a % 0x1900, a).astype(np.uint16)
 
 
 def batch_codes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,21 +119,35 @@ class Model:
         total = max(1.0, float(counts.sum()))
         # an unseen pair counts as a third of one; the sum is that of the counts, which is enough here
         self.info = np.full(CLASSES * CLASSES, np.log(total) - np.log(1 / 3), np.float32)
+        self.mean = 0.0
+        left, right = np.zeros(CLASSES), np.zeros(CLASSES)
         if len(keys):
             self.info[keys] = np.log(total) - np.log(counts)
             self.mean = float((counts * self.info[keys]).sum() / total)
-        else:
-            self.mean = 0.0
-        self.bar = self.mean + MARGIN
+            np.add.at(left, keys // CLASSES, counts)
+            np.add.at(right, keys % CLASSES, counts)
+        usual = self.info.copy()
+        for lost in tables()[0][[0x3F, 0xFFFD]].tolist():  # two marks in a row tell nothing, however often lost letters left them
+            usual[lost * CLASSES + lost] = self.info.max()
+        # what speaks against a pair: its mutual information, turned round; no marginal is below that of an even alphabet as large as the corpus' own
+        marginals = []
+        for m in (left / total, right / total):
+            seen = m[m > 0]
+            even = np.exp((seen * np.log(seen)).sum()) if len(seen) else 1.0
+            m[ord(" ")] = 0  # a blank is the edge of a word and tells nothing of the character beside it
+            marginals.append(np.log(np.maximum(m, even)).astype(np.float32))
+        self.against = (usual.reshape(CLASSES, CLASSES) + marginals[0][:, None] + marginals[1][None]).ravel()
+        mean = float((counts * self.against[keys]).sum() / total) if len(keys) else 0.0
+        self.bar = mean + MARGIN
         self.promising = lru_cache(maxsize=100_000)(lambda run: promising(run, self))
 
     def scores(self, codes: np.ndarray) -> np.ndarray:
         """Score of each adjacent pair, positive where improbable."""
         if len(codes) < 2:
             return np.empty(0, np.float32)
-        s = self.info[pair_keys(codes)] - self.bar
+        s = self.against[pair_keys(codes)] - self.bar
         s[case_breaks(codes)] += CASE_BREAK
-        ascii_ = codes < 128
+        ascii_ = (codes < 128) & (codes != 0x3F)  # a question mark may stand for a lost letter
         s[ascii_[:-1] & ascii_[1:]] = -2.0  # these are the same in all sets
         return np.maximum(s, -4.0)
 
@@ -275,7 +294,7 @@ def promising(run: str, model: Model) -> tuple[Chain, ...]:
             if right == "utf-8" and out is not None:
                 for again in _WRONG:
                     consider(back(out, again, "utf-8"), ((wrong, "utf-8"), (again, "utf-8")))
-    return tuple(c for _, c in sorted(found, key=lambda x: x[0])[:6])
+    return tuple(c for _, c in sorted(found, key=lambda x: x[0]))
 
 
 def holds(text: str, chain: Chain, model: Model) -> str | None:
@@ -313,16 +332,25 @@ def lost_letters(text: str) -> bool:
 _BLANK = re.compile("[ \t\n\r\u2007\u2009\u202f\u3000]")  # a no-break space may stand for a letter
 
 
-def _widen(text: str, a: int, b: int) -> tuple[int, int]:
+def _widen(text: str, a: int, b: int, blanks: list[int]) -> tuple[int, int]:
     """To whole tokens, from the first to the last that is not blank."""
     while a < b and text[a].isspace():
         a += 1
     while a < b and text[b - 1].isspace():
         b -= 1
-    blank = _BLANK.search(text[max(0, a - 200) : a][::-1])
-    a = a - blank.start() if blank else max(0, a - 200)
-    blank = _BLANK.search(text, b)
-    return a, min(blank.start() if blank else len(text), b + 200)
+    k, n = bisect_left(blanks, a), bisect_left(blanks, b)
+    return blanks[k - 1] + 1 if k else 0, blanks[n] if n < len(blanks) else len(text)
+
+
+def _probes(run: str):
+    """Stretches of a run, of whole tokens where there are any, until all of it was seen."""
+    at = 0
+    while at < len(run):
+        to = at + PROBE
+        if to < len(run) and (cut := run.rfind(" ", at + PROBE // 2, to)) > 0:
+            to = cut
+        yield run[at:to]
+        at = to
 
 
 _STOP = re.compile(r"[.!?…]\s+")
@@ -332,7 +360,7 @@ def _units(text: str, a: int, b: int):
     """Wider and wider parts of the text around a run, the widest first: its line, its sentences, its neighbour words, itself."""
     left, right = text.rfind("\n", 0, a) + 1, text.find("\n", b)
     right = right if right >= 0 else len(text)
-    units = [(left, right)] if right - left <= 4000 else []
+    units = [(left, right)]
     stops = [left + m.end() for m in _STOP.finditer(text[left:right])]
     units.append((max([left, *(s for s in stops if s <= a)]), min([right, *(s for s in stops if s >= b)])))
     x, y = a, b
@@ -365,40 +393,49 @@ def _explains(text: str, fix: tuple[int, int, str], chain: Chain, runs: list[lis
     return True
 
 
-def restore(text: str, scores: np.ndarray, model: Model, gap: int = 40) -> tuple[bool, str]:
-    """Is the text affected, and what it says with all runs restored that can be.
+def restore(text: str, scores: np.ndarray, model: Model, gap: int = 40) -> tuple[bool, bool, str]:
+    """Has the text runs that can be restored, has it runs of lost letters, and what it says with the former restored.
 
     ``scores`` are those of the text between two line ends.
     """
     runs: list[list[int]] = []
+    lost = False
+    blanks = [m.start() for m in _BLANK.finditer(text)]
     for a, b, _ in segments(scores, SEGMENT):
-        a, b = _widen(text, max(0, a - 1), min(b + 1, len(text)))
-        if a >= b or text[a:b].isascii():
+        a, b = _widen(text, max(0, a - 1), min(b + 1, len(text)), blanks)
+        if a >= b:
+            continue
+        lost = lost or lost_letters(text[a:b])
+        if text[a:b].isascii():
             continue
         if runs and a - runs[-1][1] <= 0:
             runs[-1][1] = max(b, runs[-1][1])
         else:
             runs.append([a, b])
     if not runs:
-        return False, text
+        return False, lost, text
     fixes: list[tuple[int, int, str]] = []
     chains_of: dict[int, Chain] = {}
     for n, (a, b) in enumerate(runs):
         if fixes and a < fixes[-1][1]:
             continue
-        chains = model.promising(text[a:b] if b - a <= PROBE else text[a : a + PROBE].rsplit(" ", 1)[0])
-        if not chains and b - a > PROBE:
-            chains = model.promising(text[b - PROBE : b].split(" ", 1)[-1])
-        if not chains:
-            continue
         lonely = all(abs(text_gap) > gap for text_gap in [*([a - runs[n - 1][1]] if n else []), *([runs[n + 1][0] - b] if n + 1 < len(runs) else [])])
-        found = None
-        for x, y in _units(text, a, b):
-            # alone, a short run among others proves a mapping only if that is strict
-            strict = (x, y) != (a, b) or lonely or b - a >= 12
-            for chain in chains:
-                if (strict or chain[0][1] == "utf-8") and (out := holds(text[x:y], chain, model)) is not None:
-                    found = (x, y, out)
+        found, tried = None, set()
+        units = None
+        for probe in _probes(text[a:b]):
+            chains = [c for c in model.promising(probe) if c not in tried]
+            if not chains:
+                continue
+            tried.update(chains)
+            units = units or list(_units(text, a, b))
+            for x, y in units:
+                # alone, a short run among others proves a mapping only if that is strict
+                strict = (x, y) != (a, b) or lonely or b - a >= 12
+                for chain in chains:
+                    if (strict or chain[0][1] == "utf-8") and (out := holds(text[x:y], chain, model)) is not None:
+                        found = (x, y, out)
+                        break
+                if found:
                     break
             if found:
                 break
@@ -410,7 +447,7 @@ def restore(text: str, scores: np.ndarray, model: Model, gap: int = 40) -> tuple
     for a, b, out in fixes:
         parts += [text[at:a], out]
         at = b
-    return bool(fixes), "".join([*parts, text[at:]])
+    return bool(fixes), lost, "".join([*parts, text[at:]])
 
 
 def count_pairs(texts: DataFrame, counts: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -484,13 +521,10 @@ def garbled(texts: DataFrame, counts: tuple[np.ndarray, np.ndarray] | None = Non
             s = model.scores(codes)
             a, b = ends[:-1], ends[1:]
             marked = best_segments(s, ends) >= SEGMENT
-            odd = np.concatenate([[0], np.cumsum((codes == 0x3F) | (codes == 0xFFFD))])
-            maybe = marked | (odd[b] > odd[a])
             keep, fixed = [], []
-            for r in np.flatnonzero(maybe).tolist():
-                text = batch.column(2)[r].as_py()
-                hit, out = restore(text, s[a[r] : b[r]], model) if marked[r] else (False, text)
-                if hit or lost_letters(text):
+            for r in np.flatnonzero(marked).tolist():
+                hit, lost, out = restore(batch.column(2)[r].as_py(), s[a[r] : b[r]], model)
+                if hit or lost:
                     keep.append(r)
                     fixed.append(out if hit else None)
             if keep:
