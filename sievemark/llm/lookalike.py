@@ -1,14 +1,15 @@
 """Problem 1: texts that look the same in one consistent form.
 
-Characters of the same look are mapped onto one another inside the JVM
-(``translate``), and the mapped values are grouped in SQL under the
-accent-sensitive Unicode collation, which takes composed and combining forms
-for equal.  Each class gets one canonical member, the most frequent stored text
-and among those the smallest, and the canonical text is joined back.
+Characters of the same look are mapped onto one another (``translate``), and
+the mapped values are grouped in SQL under the accent-sensitive Unicode
+collation, which takes composed and combining forms for equal.  Each class gets
+one canonical member, the most frequent stored text and among those the
+smallest, and the canonical text is joined back.
 
-A coarse hash of the mapped text without accents finds the few classes with
-more than one stored form first, so that only their rows are collated; copies
-of one stored text never meet one another.
+A coarse hash of the text without accents, made in Arrow batches by one table
+of the whole Unicode range, finds the few classes with more than one stored
+form first, so that only their rows are mapped and collated; copies of one
+stored text never meet one another.  Pairs of a large class are formed in parts.
 
 Defined results: a null text stays null; texts without any visible character
 form no class and stay as they are; copies of the same stored text are no pair;
@@ -17,13 +18,19 @@ repeated rows take part each.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import lru_cache
 
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
+#: A class is joined with itself in parts of about so many rows.
+PART = 5000
+
 # fixed values: characters without a look of their own
 INVISIBLE = "­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿︎️"
 # fixed values: kinds of blank and of hyphen of the same look
@@ -60,20 +67,32 @@ def _decompositions() -> dict[str, str]:
     return {c: d for c in chars if (d := unicodedata.normalize("NFD", c)) != c}
 
 
-@lru_cache(maxsize=1)
-def _plain() -> tuple[dict[str, str], dict[str, str], str]:
-    """For the coarse hash: composed characters as their plain ones, Hangul syllables as their first letters, and what is left out."""
-    whole = _decompositions()
-    out = {x for d in whole.values() for x in d[1:]}
-    out |= {chr(c) for c in range(0x110000) if unicodedata.combining(chr(c)) or unicodedata.category(chr(c)) in ("Mn", "Me", "Cf")}
-    first = {c: "" if d[0] in out else d[0] for c, d in whole.items()}
-    out |= {c for c, d in first.items() if not d}
-    syllables = {c: d for c, d in first.items() if d and "\uac00" <= c <= "\ud7a3"}
-    return {c: d for c, d in first.items() if d and c not in syllables and c not in out}, syllables, "".join(sorted(out))
+class _Coarse(dict):
+    """Code points and what the coarse hash takes them for: the plain base of a look-alike, nothing for marks and invisible characters; filled as they come."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        if c in INVISIBLE or unicodedata.category(c) in ("Mn", "Me", "Cf", "Mc") or unicodedata.combining(c):
+            out = ""
+        elif c in BLANKS:
+            out = " "
+        elif c in HYPHENS:
+            out = "-"
+        elif 0xFF01 <= code < 0xFF5F:
+            out = self[code - 0xFEE0]
+        else:
+            first = unicodedata.normalize("NFD", SHAPES.get(c, c))[0]
+            out = first if first == c else self[ord(first)]
+        self[code] = out
+        return out
+
 
+_COARSE = _Coarse()
 
-#: Characters of most texts; a text of these alone needs only their part of the coarse map, with the same result.
-_USUAL = "\\x00-\\xffА-яЁё‐-‧‰-›№"
+
+def coarse(text: str) -> str:
+    """What equal-looking texts share: the shape, without accents."""
+    return text if text.isascii() else text.translate(_COARSE)
 
 
 def _class(chars) -> str:
@@ -109,24 +128,23 @@ def shape(text: Column) -> Column:
     return F.when(text.rlike(_class(several)), parted).otherwise(_mapped(text))
 
 
-def coarse(text: Column) -> Column:
-    """A hash that equal-looking texts share: of the shape, without accents."""
-    plain, syllables, out = _plain()
-    few = {c: d for c, d in plain.items() if re.match(f"[{_USUAL}]", c) or c in SHAPES.values()}
-    usual = F.translate(_mapped(text), "".join(few), "".join(few.values()))
-    bare = F.translate(shape(text), "".join(plain) + out, "".join(plain.values()))
-    korean = F.translate(bare, "".join(syllables), "".join(syllables.values()))
-    return F.xxhash64(F.when(~text.rlike(f"[^{_USUAL}]"), usual).when(text.rlike("[\uac00-\ud7a3]"), korean).otherwise(bare))
+def _hashed(texts: DataFrame) -> DataFrame:
+    """``texts(rec_table, rec_id, text)`` with the coarse hash ``h``, without texts that show nothing."""
+
+    def run(batches):
+        for batch in batches:
+            forms = [coarse(t) for t in batch.column(2).to_pylist()]
+            shown = pa.array([bool(f) and not f.isspace() for f in forms], pa.bool_())
+            h = pa.array([xxhash.xxh64_intdigest(f.encode("utf-8", "surrogatepass")) - (1 << 63) for f in forms], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, h], names=["rec_table", "rec_id", "text", "h"]).filter(shown)
+
+    rows = texts.select("rec_table", "rec_id", "text").where(F.col("text").isNotNull())
+    return spread(rows).mapInArrow(run, "rec_table string, rec_id long, text string, h long")
 
 
 def _several_forms(texts: DataFrame) -> DataFrame:
     """Rows of ``(rec_table, rec_id, text, shape)`` that share a coarse hash with a different stored text."""
-    keyed = (
-        texts.select("rec_table", "rec_id", "text")
-        .where(F.col("text").isNotNull())
-        .where(F.col("text").rlike("[!-~А-я]") | _mapped(F.col("text")).rlike(r"\S"))  # the second only where the first finds nothing
-        .withColumn("h", coarse(F.col("text")))
-    )
+    keyed = _hashed(texts)
     stored = F.xxhash64("text")
     groups = keyed.groupBy("rec_table", "h").agg(F.min(stored).alias("a"), F.max(stored).alias("b")).where("a <> b").select("rec_table", "h")
     # the shape is made anew behind the join, so that a text travels once and not in two forms
@@ -160,9 +178,9 @@ def classes(texts: DataFrame, leave_out=None) -> DataFrame:
     )
 
 
-def consistent(texts: DataFrame) -> DataFrame:
-    """``(rec_table, rec_id, text)`` with every text in its class's canonical form."""
-    found = classes(texts).select("rec_table", "rec_id", "canonical")
+def consistent(texts: DataFrame, leave_out=None) -> DataFrame:
+    """``(rec_table, rec_id, text)`` with every text in its class's canonical form; ``leave_out`` as of ``classes``."""
+    found = classes(texts, leave_out).select("rec_table", "rec_id", "canonical")
     return (
         texts.select("rec_table", "rec_id", "text")
         .join(found, ["rec_table", "rec_id"], "left")
@@ -170,17 +188,22 @@ def consistent(texts: DataFrame) -> DataFrame:
     )
 
 
-def pairs(members: DataFrame) -> DataFrame:
+def pairs(members: DataFrame, part: int = PART) -> DataFrame:
     """``(rec_table, id_a, id_b)`` of rows of one class with different stored texts.
 
     Pairs are formed between the stored forms of a class, never within one, so
-    copies of one text stay out of the join.
+    copies of one text stay out of the join.  A class of more than ``part`` rows
+    is joined in as many parts as it needs: its rows as first members are dealt
+    out over them, as second members they are in each.
     """
-    key = F.xxhash64("canonical")
-    rows = members.select("rec_table", key.alias("c"), "canonical", "rec_id", "text")
-    a, b = rows.alias("a"), rows.alias("b")
+    rows = members.select("rec_table", F.xxhash64("canonical").alias("c"), "canonical", "rec_id", "text")
+    parts = rows.groupBy("rec_table", "c").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).where(F.col("parts") > 1)
+    rows = rows.join(parts, ["rec_table", "c"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    a = rows.withColumn("part", F.pmod(F.xxhash64("rec_id"), F.col("parts")).cast("int")).alias("a")
+    b = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("rec_table", "c", "part")]
     return (
-        a.join(b, (F.col("a.rec_table") == F.col("b.rec_table")) & (F.col("a.c") == F.col("b.c")) & (F.col("a.rec_id") < F.col("b.rec_id")))
+        a.join(b, same[0] & same[1] & same[2] & (F.col("a.rec_id") < F.col("b.rec_id")))
         .where("a.text <> b.text AND a.canonical = b.canonical")
         .select(F.col("a.rec_table").alias("rec_table"), F.col("a.rec_id").alias("id_a"), F.col("b.rec_id").alias("id_b"))
     )

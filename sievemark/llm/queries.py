@@ -21,21 +21,27 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both_tables(table(spark, sf_dir, "text_chunk"), table(spark, sf_dir, "extracted_content"))
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of the look-alike classes; rows garbled by a wrong set take no part."""
-    texts = _texts(spark, sf_dir)
+def _sound(texts: DataFrame):
+    """A function that leaves out rows garbled by a wrong character set."""
 
-    def sound(rows: DataFrame) -> DataFrame:
-        ensure_checkpoint_dir(spark)
+    def narrow(rows: DataFrame) -> DataFrame:
+        ensure_checkpoint_dir(rows.sparkSession)
         rows = rows.checkpoint()
         return rows.join(charset.garbled(rows, corpus=texts), ["rec_table", "rec_id"], "left_anti")
 
-    return lookalike.pairs(lookalike.classes(texts, sound))
+    return narrow
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the look-alike classes; rows garbled by a wrong set take no part."""
+    texts = _texts(spark, sf_dir)
+    return lookalike.pairs(lookalike.classes(texts, _sound(texts)))
 
 
 def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text in its consistent form."""
-    return lookalike.consistent(_texts(spark, sf_dir))
+    """Every text in its consistent form, by the classes of p1_found."""
+    texts = _texts(spark, sf_dir)
+    return lookalike.consistent(texts, _sound(texts))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
