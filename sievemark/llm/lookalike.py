@@ -72,7 +72,9 @@ class _Coarse(dict):
 
     def __missing__(self, code: int) -> str:
         c = chr(code)
-        if c in INVISIBLE or unicodedata.category(c) in ("Mn", "Me", "Cf", "Mc") or unicodedata.combining(c):
+        if 0x1160 <= code < 0x1200 or 0xD7B0 <= code < 0xD800:  # the later letters of a Korean syllable
+            out = ""
+        elif c in INVISIBLE or unicodedata.category(c) in ("Mn", "Me", "Cf", "Mc") or unicodedata.combining(c):
             out = ""
         elif c in BLANKS:
             out = " "

@@ -113,3 +113,20 @@ def test_words_are_decoded_by_cost():
     text = "в рассмо-\nтрении дела, в интер-\nакт и листы, напри\nмер акт"
     d = scans.decode(text, scans.Lexicon(counts | {"интер-акт": 50}, 1_000_000), frozenset())
     assert d.text == "в рассмотрении дела, в интер-акт и листы, например акт" and d.hyphens == {0} and not d.misread
+
+
+def test_coarse_hash_over_the_whole_range():
+    """Every character and its decomposition, and all look-alikes, share their coarse form."""
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert not [c for c in chars if (d := unicodedata.normalize("NFD", c)) != c and lookalike.coarse(c) != lookalike.coarse(d)]
+    assert all(lookalike.coarse(a) == lookalike.coarse(b) for a, b in lookalike.SHAPES.items())
+    assert lookalike.coarse("ａ１") == "a1" and lookalike.coarse("ё") == lookalike.coarse("е") == "e"
+
+
+def test_large_classes_are_joined_in_parts(spark):
+    rows = [("t", i, "а" * (i % 3) + "Сор" + "​" * (i % 3), "Сор") for i in range(60)]
+    df = spark.createDataFrame(rows, "rec_table string, rec_id long, text string, canonical string")
+    expected = {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 != b % 3}
+    for part in (7, 1000):
+        got = [(r["id_a"], r["id_b"]) for r in lookalike.pairs(df, part).collect()]
+        assert len(got) == len(expected) and set(got) == expected
