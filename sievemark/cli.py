@@ -5,10 +5,15 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from collections.abc import Callable
+from dataclasses import replace
 
 from . import vocab
 from .config import ScanConfig
 
+#: Loaders of models that a warm-up calls in the workers.
+MODELS: list[Callable] = []
+
 
 def build_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sievemark", description="Поиск персональных данных в файловом хранилище.")
@@ -21,9 +26,9 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("--max-binary-read-bytes", type=int, default=5_000_000)
     p.add_argument("--enable-ocr", action="store_true")
     p.add_argument("--include-empty-results", action="store_true")
-    p.add_argument("--analysis-workers", type=int, default=3, help="не нужен: ветки анализа вычисляет Spark")
-    p.add_argument("--file-workers", type=int, default=1, help="не нужен: файлы распределяет Spark")
-    p.add_argument("--warmup-model", action="store_true", help="не нужен: модель загружается в рабочих процессах")
+    p.add_argument("--analysis-workers", type=int, default=3, help="число разделов данных на каждое ядро при анализе")
+    p.add_argument("--file-workers", type=int, default=1, help="число разделов данных на каждое ядро при чтении")
+    p.add_argument("--warmup-model", action="store_true", help="загрузить модели в рабочих процессах до сканирования")
     p.add_argument("--debug-progress", action="store_true", help="печатать строку о каждом файле")
     p.add_argument("--slow-log", default="", help="CSV медленных файлов, иначе slow_files.csv рядом с отчетом")
     p.add_argument("--slow-threshold", type=float, default=20.0)
@@ -42,17 +47,25 @@ def config_of(args: argparse.Namespace) -> ScanConfig:
 
 def main(argv: list[str] | None = None) -> int:
     parser = build_parser()
-    config = config_of(parser.parse_args(argv))
+    args = parser.parse_args(argv)
+    config = config_of(args)
     if "://" not in config.root and not os.path.exists(config.root):
-        parser.error(f"Путь не найден: {config.root}")
+        parser.error(vocab.NOT_FOUND.format(config.root))
     from pyspark.sql import SparkSession
 
     from .plans.report import write_results
     from .plans.scan import scan_root, slow_files
 
     spark = SparkSession.builder.appName("sievemark").getOrCreate()
-    results, extracted = scan_root(spark, config)
-    extracted = extracted.persist()
+    cores = spark.sparkContext.defaultParallelism
+    config = replace(config, file_parts=cores * max(1, args.file_workers), analysis_parts=cores * max(1, args.analysis_workers))
+    if args.warmup_model and MODELS:
+        from .operators.recognise import warm_up
+
+        for load in MODELS:
+            warm_up(spark, load)
+    _, extracted = scan_root(spark, config)
+    extracted = extracted.repartition(config.analysis_parts).persist()
     from .plans.scan import results as results_of
 
     results = results_of(extracted, config.include_empty_results).persist()
@@ -66,8 +79,8 @@ def main(argv: list[str] | None = None) -> int:
     if config.debug_progress:
         for n, r in enumerate(extracted.select("file_format", "elapsed", "name", "status").toLocalIterator(), 1):
             print(f"[debug] {n} {r['file_format']} {r['elapsed']:.3f}s {r['name']} {r['status']}")
-    print(f"Сканирование завершено. Результатов: {results.count()}")
-    print(f"Отчет сохранен: {config.output}")
+    print(vocab.DONE.format(results.count()))
+    print(vocab.SAVED.format(config.output))
     return 0
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions.masking import mask, value_hash
 from ..functions.normalize import trim
-from ..functions.spans import any_of, find_spans, window
+from ..functions.spans import SPANS, any_of, find_spans, window
 from ..functions.validators import bik_valid, digits, field_has, full_name_like, inn_valid, luhn, mentions, snils_valid
 
 FINDING = "array<struct<rule:int,start:int,category:string,value:string>>"
@@ -30,8 +30,19 @@ def _whole(rule: int, category: str, holds: Column, value: Column) -> Column:
     return F.when(F.coalesce(holds, F.lit(False)), one).otherwise(F.array().cast(FINDING))
 
 
-def candidates(text: Column, field: Column) -> Column:
-    """All findings of one chunk, in the order of rules and places; empty for null and empty texts."""
+def _named(text: Column, field: Column, persons: Column) -> Column:
+    """Recognised names of a chunk without a field name: at least three characters, and a word of two letters."""
+    whole = lambda s: (F.length(trim(s["value"])) >= 3) & F.exists(F.split(trim(s["value"]), r"(?U)\s+"), lambda w: F.length(F.regexp_replace(w, r"\.+$", "")) >= 2)
+    own = (F.coalesce(field, F.lit("")) == "") & text.rlike(r"(?U)\S")
+    return _found(19, "FIO", F.when(own, F.filter(persons, whole)).otherwise(F.array().cast(SPANS)))
+
+
+def candidates(text: Column, field: Column, persons: Column | None = None) -> Column:
+    """All findings of one chunk, in the order of rules and places; empty for null and empty texts.
+
+    ``persons`` are spans of recognised names (``operators.recognise``); the
+    place of a span is in its own chunk, so none has to be looked up.
+    """
 
     def beside(kind: str, pad: int = 40):
         return lambda s: any_of(F.lower(window(text, s["start"] - pad, s["end"] + pad)), vocab.NEAR_WORDS[kind])
@@ -64,6 +75,7 @@ def candidates(text: Column, field: Column) -> Column:
         _whole(13, "ADDRESS", by_field("address"), text),
         _whole(14, "FIO", by_field("fio") & full_name_like(text), text),
         *[_whole(15 + n, k, mentions(text, p), F.substring(text, 1, vocab.SNIPPET)) for n, (k, p) in enumerate(vocab.MENTIONS.items())],
+        *([_named(text, field, persons)] if persons is not None else []),
     ]
     return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, F.concat(*[p.cast(FINDING) for p in parts])).otherwise(F.array().cast(FINDING))
 
@@ -73,14 +85,15 @@ def group_of(category: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in vocab.FINDING_GROUPS.items() for x in pair])[category]
 
 
-def chunk_findings(chunks: DataFrame, *keep: str) -> DataFrame:
+def chunk_findings(chunks: DataFrame, *keep: str, persons: str | None = None) -> DataFrame:
     """One row for each finding of ``chunks(path, chunk_seq, text, source, field_name)``: masked, hashed, not yet distinct.
 
-    ``keep`` names further columns that stay, such as an event time.
+    ``keep`` names further columns that stay, such as an event time;
+    ``persons`` the column of recognised names.
     """
     value = trim(F.col("f.value"))
     return (
-        chunks.select(*keep, "path", "chunk_seq", "source", "field_name", F.explode(candidates(F.col("text"), F.col("field_name"))).alias("f"))
+        chunks.select(*keep, "path", "chunk_seq", "source", "field_name", F.explode(candidates(F.col("text"), F.col("field_name"), F.col(persons) if persons else None)).alias("f"))
         .where(value != "")
         .select(
             *keep,
@@ -102,9 +115,9 @@ def distinct_findings(found: DataFrame) -> DataFrame:
     return found.groupBy("path", "category", "hash").agg(first).select("path", "category", "x.pd_group", "x.masked", "hash", "x.source", "x.field_name")
 
 
-def findings(chunks: DataFrame) -> DataFrame:
-    """Distinct findings of every file."""
-    return distinct_findings(chunk_findings(chunks))
+def findings(chunks: DataFrame, persons: str | None = None) -> DataFrame:
+    """Distinct findings of every file; ``persons`` names a column of recognised names, if there is one."""
+    return distinct_findings(chunk_findings(chunks, persons=persons))
 
 
 def level(n: dict[str, Column], strict: Column, big: int = vocab.BIG_VOLUME) -> Column:

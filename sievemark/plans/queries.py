@@ -34,9 +34,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the input comes in fewer partitions than there are cores, as one small file does; else as they are."""
+    """Rows of a plain scan over all cores where its files give fewer partitions than there are cores; else as they are.  No job runs here."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan" or "Exchange" in plan.toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def contents(spark, d: str) -> DataFrame:
@@ -178,7 +181,7 @@ def finalize_text(spark, d):
 @query
 def mixed_script_repair(spark, d):
     t = F.coalesce("text", F.lit(""))
-    return table(spark, d, "extracted_content").select("content_id", K.value_hash(N.mixed_script(t)).alias("hash")).where(F.lit(True))
+    return table(spark, d, "extracted_content").select("content_id", K.value_hash(N.mixed_script(t)).alias("hash"))
 
 
 @query

@@ -9,8 +9,12 @@ from .. import vocab
 from ..config import ScanConfig
 from ..functions.normalize import result_time
 from ..operators.document import analyze, as_map
+from ..operators.finding import classify, finding_lists, findings
+from ..operators.recognise import with_spans
+from ..sources.chunks import chunks_of, read_chunks, states_of
 from ..sources.extract import extract_files
 from ..sources.files import read_files
+from .report import report_rows
 
 # fixed value: note of a result whose text was cut
 CUT = "Извлеченный текст был усечен по лимиту символов."
@@ -39,10 +43,24 @@ def results(extracted: DataFrame, include_empty: bool = False, this_year: int |
 
 def scan_root(spark: SparkSession, config: ScanConfig) -> tuple[DataFrame, DataFrame]:
     """``(results, extracted)`` of all files below the root."""
-    extracted = extract_files(read_files(spark, config.root, config.include_extensions), config)
+    extracted = extract_files(read_files(spark, config.root, config.include_extensions, config.file_parts), config)
     return results(extracted, config.include_empty_results), extracted
 
 
+def scan_findings(spark: SparkSession, config: ScanConfig, load=None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(report rows, distinct findings)`` of all files below the root by the finding profile.
+
+    ``load`` may load a recogniser of names.  The chunks are read once: they
+    are persisted, as both findings and states of files come from them.
+    """
+    read = read_chunks(read_files(spark, config.root, config.include_extensions, config.file_parts)).persist()
+    chunks, persons = chunks_of(read), None
+    if load is not None:
+        chunks, persons = with_spans(chunks, load, limit=vocab.RECOGNISED_CHUNK_CHARS, strict=strict), "persons"
+    found = findings(chunks, persons)
+    return report_rows(states_of(read), classify(found), finding_lists(found)), found
+
+
 def slow_files(extracted: DataFrame, threshold: float) -> DataFrame:
     """``(path, ext, seconds, status)`` of files whose reading took at least ``threshold`` seconds."""
     return extracted.where(F.col("elapsed") >= threshold).select("path", F.col("file_format").alias("ext"), F.format_string("%.3f", "elapsed").alias("seconds"), "status")

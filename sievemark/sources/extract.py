@@ -11,6 +11,7 @@ import html
 import io
 import json
 import re
+import struct
 import zipfile
 import zlib
 from collections.abc import Callable, Iterable
@@ -22,10 +23,13 @@ from pyspark.sql import DataFrame
 
 from .. import vocab
 from ..config import ScanConfig
+from . import biff, pdf
 from .decode import decode, repair_mojibake
 
 Extracted = tuple[str, str, list[str], bool]
 OCR: Callable[[bytes], str] | None = None
+#: Reads one page of a scanned PDF, by its number from 1.
+PAGE_OCR: Callable[[bytes, int], str] | None = None
 SCHEMA = "path string, name string, size long, modified timestamp, file_format string, text string, method string, warnings array<string>, truncated boolean, status string, error string, elapsed double"
 
 # fixed values: notes that results carry
@@ -211,6 +215,23 @@ def xlsx_text(raw: bytes, c: ScanConfig) -> Extracted:
     return finalize("\n".join(lines), "xlsx_openpyxl", c.max_text_chars)
 
 
+def xls_text(raw: bytes, c: ScanConfig) -> Extracted:
+    """Rows of a legacy workbook; printable runs where it cannot be read as one."""
+    lines: list[str] = []
+    try:
+        for title, rows in biff.sheets(raw):
+            lines.append(f"[sheet] {title}")
+            width = max(map(len, rows), default=0)
+            for n, row in enumerate(rows, 1):
+                lines.append(" | ".join([*map(biff.shown, row), *[""] * (width - len(row))]))
+                if n >= c.max_structured_rows:
+                    lines.append("[truncated]")
+                    break
+    except (ValueError, struct.error, IndexError):
+        return binary(raw, c, "spreadsheet_binary_fallback")
+    return finalize("\n".join(lines), "xls_xlrd", c.max_text_chars)
+
+
 def _literal(value: str) -> str:
     core = value.strip().removesuffix("Tj").strip()
     if core[:1] == "(" and core[-1:] == ")":
@@ -229,8 +250,12 @@ def _operators(raw: bytes) -> list[str]:
 
 def pdf_text(raw: bytes, c: ScanConfig) -> Extracted:
     """Text of the page operators, in plain and packed streams, and printable runs."""
-    if OCR is not None and c.enable_ocr and b"/Font" not in raw and b"/Image" in raw:
-        return finalize(OCR(raw), "pdf_ocr", c.max_text_chars)
+    if c.enable_ocr and (OCR is not None or PAGE_OCR is not None):
+        own = list(pdf.pages(raw))
+        if pdf.looks_scanned(own):
+            text, notes = pdf.recognised(raw, len(own), PAGE_OCR, c.max_scanned_pages) if PAGE_OCR is not None else (OCR(raw), [])
+            if text.strip():
+                return finalize(text, "pdf_ocr", c.max_text_chars, notes)
     if len(raw) > 10 * c.max_binary_read_bytes:
         return "", "pdf_too_large", [PDF_TOO_LARGE], False
     head = raw[: c.max_binary_read_bytes]
@@ -259,7 +284,7 @@ def image_text(raw: bytes, c: ScanConfig) -> Extracted:
 
 EXTRACTORS: dict[str, Callable[[bytes, ScanConfig], Extracted]] = {
     "txt": plain_text, "csv": csv_text, "json": json_text, "html": html_text, "htm": html_text, "docx": docx_text, "rtf": rtf_text, "xlsx": xlsx_text,
-    "xls": lambda raw, c: binary(raw, c, "spreadsheet_binary_fallback"), "doc": binary, "pdf": pdf_text, **dict.fromkeys(vocab.IMAGES, image_text),
+    "xls": xls_text, "doc": binary, "pdf": pdf_text, **dict.fromkeys(vocab.IMAGES, image_text),
 }
 
 

@@ -26,19 +26,33 @@ def list_files(root: str, extensions: Iterable[str]) -> list[tuple[str, int, dat
     return out
 
 
-def read_files(spark: SparkSession, root: str, extensions: Iterable[str]) -> DataFrame:
+def read_files(spark: SparkSession, root: str, extensions: Iterable[str], parts: int | None = None) -> DataFrame:
     """``(path, size, modified, content)`` of a tree.
 
-    A folder that the driver can see is listed by it, hidden files included,
-    and ``content`` stays null: the contents are read where they are used.
-    Anything else goes through Spark's file source, pruned by extension before
-    contents are read.
+    Of a folder that is mounted, the driver lists the first level only; what
+    lies below is walked by the tasks, hidden files included, and ``content``
+    stays null: the contents are read where they are used.  Anything else goes
+    through Spark's file source, pruned by extension before contents are read.
+    ``parts`` is the number of partitions to read in, four a core if not given.
     """
     wanted = [e.lower().lstrip(".") for e in extensions]
     if os.path.exists(root):
-        rows = [(p, n, t, None) for p, n, t in list_files(root, wanted)]
-        df = spark.createDataFrame(rows, SCHEMA)
-        return df.repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)))
+        parts = parts or 4 * spark.sparkContext.defaultParallelism
+        own = [root] if os.path.isfile(root) else [os.path.join(root, n) for n in sorted(os.listdir(root))]
+
+        def walk(batches):
+            import pyarrow as pa
+
+            schema = pa.schema([("path", pa.string()), ("size", pa.int64()), ("modified", pa.timestamp("us", "UTC"))])
+            for batch in batches:
+                for start in batch.column(0).to_pylist():
+                    found = list_files(start, wanted)
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), schema)], schema=schema)
+
+        level = spark.createDataFrame([(p,) for p in own], "path string").repartition(max(1, min(len(own), parts)))
+        listed = level.mapInArrow(walk, "path string, size long, modified timestamp")
+        return listed.repartition(parts).withColumn("content", F.lit(None).cast("binary"))
     name = F.element_at(F.split("path", "/"), -1)
     return (
         spark.read.format("binaryFile")
