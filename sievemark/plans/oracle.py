@@ -212,4 +212,6 @@ ORACLE = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    from .oracle_profiles import STATEMENTS
+
+    return ORACLE | STATEMENTS
