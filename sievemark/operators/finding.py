@@ -37,11 +37,12 @@ def _named(text: Column, field: Column, persons: Column) -> Column:
     return _found(19, "FIO", F.when(own, F.filter(persons, whole)).otherwise(F.array().cast(SPANS)))
 
 
-def candidates(text: Column, field: Column, persons: Column | None = None) -> Column:
+def candidates(text: Column, field: Column, persons: Column | None = None, only: tuple[str, ...] = ()) -> Column:
     """All findings of one chunk, in the order of rules and places; empty for null and empty texts.
 
     ``persons`` are spans of recognised names (``operators.recognise``); the
-    place of a span is in its own chunk, so none has to be looked up.
+    place of a span is in its own chunk, so none has to be looked up.  With
+    ``only``, no rule runs but those of these categories.
     """
 
     def beside(kind: str, pad: int = 40):
@@ -58,26 +59,27 @@ def candidates(text: Column, field: Column, persons: Column | None = None) -> Co
     own_code = digits(text)
     said = lambda kind: any_of(F.lower(text), vocab.NEAR_WORDS[kind])
     parts = [
-        _found(0, "EMAIL", spans(vocab.EMAIL)),
-        _found(1, "PHONE", spans(vocab.F_PHONE)),
-        _found(2, "PASSPORT_RF", F.filter(spans(vocab.F_PASSPORT), near("passport"))),
-        _found(3, "SNILS", F.filter(spans(vocab.F_SNILS), lambda s: snils_valid(s["value"]))),
-        _found(4, lambda s: F.when(F.length(s["value"]) == 12, "INN_PERSONAL").otherwise("INN_LEGAL"), F.filter(spans(vocab.F_INN), lambda s: inn_valid(s["value"]) & near("inn")(s))),
-        _found(5, "BANK_CARD", F.filter(spans(vocab.F_CARD), lambda s: luhn(s["value"], 19) & near("card", 60)(s))),
-        _found(6, "BANK_ACCOUNT", F.when(by_field("account"), spans(vocab.F_ACCOUNT)).otherwise(none)),
-        _found(7, "BIC", F.filter(spans(vocab.F_BIC), lambda s: bik_valid(s["value"]))),
-        _whole(8, "CVV", by_field("cvv") & F.length(own_code).between(3, 4), own_code),
-        _found(8, "CVV", F.when(~by_field("cvv") & said("cvv"), F.filter(spans(vocab.F_CVV), beside("cvv", 15))).otherwise(none)),
-        _found(9, "DRIVER_LICENSE", spans(vocab.F_DRIVER)),
-        _found(10, "MRZ", spans(vocab.F_MRZ)),
-        _found(11, "BIRTH_DATE", F.when(by_field("birth_date"), spans(vocab.F_DATE)).when(said("birth_date"), F.filter(spans(vocab.F_DATE), beside("birth_date"))).otherwise(none)),
-        _whole(12, "BIRTH_PLACE", by_field("birth_place"), text),
-        _whole(13, "ADDRESS", by_field("address"), text),
-        _whole(14, "FIO", by_field("fio") & full_name_like(text), text),
-        *[_whole(15 + n, k, mentions(text, p), F.substring(text, 1, vocab.SNIPPET)) for n, (k, p) in enumerate(vocab.MENTIONS.items())],
-        *([_named(text, field, persons)] if persons is not None else []),
+        (("EMAIL",), _found(0, "EMAIL", spans(vocab.EMAIL))),
+        (("PHONE",), _found(1, "PHONE", spans(vocab.F_PHONE))),
+        (("PASSPORT_RF",), _found(2, "PASSPORT_RF", F.filter(spans(vocab.F_PASSPORT), near("passport")))),
+        (("SNILS",), _found(3, "SNILS", F.filter(spans(vocab.F_SNILS), lambda s: snils_valid(s["value"])))),
+        (("INN_PERSONAL", "INN_LEGAL"), _found(4, lambda s: F.when(F.length(s["value"]) == 12, "INN_PERSONAL").otherwise("INN_LEGAL"), F.filter(spans(vocab.F_INN), lambda s: inn_valid(s["value"]) & near("inn")(s)))),
+        (("BANK_CARD",), _found(5, "BANK_CARD", F.filter(spans(vocab.F_CARD), lambda s: luhn(s["value"], 19) & near("card", 60)(s)))),
+        (("BANK_ACCOUNT",), _found(6, "BANK_ACCOUNT", F.when(by_field("account"), spans(vocab.F_ACCOUNT)).otherwise(none))),
+        (("BIC",), _found(7, "BIC", F.filter(spans(vocab.F_BIC), lambda s: bik_valid(s["value"])))),
+        (("CVV",), _whole(8, "CVV", by_field("cvv") & F.length(own_code).between(3, 4), own_code)),
+        (("CVV",), _found(8, "CVV", F.when(~by_field("cvv") & said("cvv"), F.filter(spans(vocab.F_CVV), beside("cvv", 15))).otherwise(none))),
+        (("DRIVER_LICENSE",), _found(9, "DRIVER_LICENSE", spans(vocab.F_DRIVER))),
+        (("MRZ",), _found(10, "MRZ", spans(vocab.F_MRZ))),
+        (("BIRTH_DATE",), _found(11, "BIRTH_DATE", F.when(by_field("birth_date"), spans(vocab.F_DATE)).when(said("birth_date"), F.filter(spans(vocab.F_DATE), beside("birth_date"))).otherwise(none))),
+        (("BIRTH_PLACE",), _whole(12, "BIRTH_PLACE", by_field("birth_place"), text)),
+        (("ADDRESS",), _whole(13, "ADDRESS", by_field("address"), text)),
+        (("FIO",), _whole(14, "FIO", by_field("fio") & full_name_like(text), text)),
+        *[((k,), _whole(15 + n, k, mentions(text, p), F.substring(text, 1, vocab.SNIPPET))) for n, (k, p) in enumerate(vocab.MENTIONS.items())],
+        *([(("FIO",), _named(text, field, persons))] if persons is not None else []),
     ]
-    return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, F.concat(*[p.cast(FINDING) for p in parts])).otherwise(F.array().cast(FINDING))
+    chosen = [p for kinds, p in parts if not only or set(kinds) & set(only)]
+    return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, F.concat(*[p.cast(FINDING) for p in chosen])).otherwise(F.array().cast(FINDING))
 
 
 def group_of(category: Column) -> Column:
@@ -85,16 +87,17 @@ def group_of(category: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in vocab.FINDING_GROUPS.items() for x in pair])[category]
 
 
-def chunk_findings(chunks: DataFrame, *keep: str, persons: str | None = None) -> DataFrame:
+def chunk_findings(chunks: DataFrame, *keep: str, persons: str | None = None, only: tuple[str, ...] = ()) -> DataFrame:
     """One row for each finding of ``chunks(path, chunk_seq, text, source, field_name)``: masked, hashed, not yet distinct.
 
     ``keep`` names further columns that stay, such as an event time;
-    ``persons`` the column of recognised names.
+    ``persons`` the column of recognised names, ``only`` the categories looked for.
     """
     value = trim(F.col("f.value"))
     return (
-        chunks.select(*keep, "path", "chunk_seq", "source", "field_name", F.explode(candidates(F.col("text"), F.col("field_name"), F.col(persons) if persons else None)).alias("f"))
+        chunks.select(*keep, "path", "chunk_seq", "source", "field_name", F.explode(candidates(F.col("text"), F.col("field_name"), F.col(persons) if persons else None, only)).alias("f"))
         .where(value != "")
+        .where(F.col("f.category").isin(*only) if only else F.lit(True))
         .select(
             *keep,
             "path",
@@ -115,9 +118,9 @@ def distinct_findings(found: DataFrame) -> DataFrame:
     return found.groupBy("path", "category", "hash").agg(first).select("path", "category", "x.pd_group", "x.masked", "hash", "x.source", "x.field_name")
 
 
-def findings(chunks: DataFrame, persons: str | None = None) -> DataFrame:
-    """Distinct findings of every file; ``persons`` names a column of recognised names, if there is one."""
-    return distinct_findings(chunk_findings(chunks, persons=persons))
+def findings(chunks: DataFrame, persons: str | None = None, only: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct findings of every file; ``persons`` names a column of recognised names, if there is one; ``only`` some categories."""
+    return distinct_findings(chunk_findings(chunks, persons=persons, only=only))
 
 
 def level(n: dict[str, Column], strict: Column, big: int = vocab.BIG_VOLUME) -> Column:

@@ -189,6 +189,8 @@ ORACLE = {
     "results_found": "SELECT size, time_text AS time, name FROM scan_result WHERE findings_count > 0",
     "finalize_text": rf"""WITH p AS (SELECT content_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {_q(_TRIM)}, '', 'g') AS t FROM extracted_content)
         SELECT content_id, substr(sha256(substr(t, 1, 3000)), 1, 16) AS hash, length(substr(t, 1, 3000))::INT AS chars, length(t) > 3000 AS truncated FROM p""",
+    "finalize_text_of_scan": rf"""WITH p AS (SELECT content_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {_q(_TRIM)}, '', 'g') AS t FROM extracted_content)
+        SELECT content_id, substr(sha256(substr(t, 1, 200000)), 1, 16) AS hash, length(substr(t, 1, 200000))::INT AS chars, length(t) > 200000 AS truncated FROM p""",
     "cyrillic_share": r"""WITH c AS (SELECT content_id, len(regexp_extract_all(coalesce(text, ''), '[А-Яа-яЁё]')) AS c, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]')) AS l, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{M}\p{Nd}]')) AS w FROM extracted_content)
         SELECT content_id, round(CASE WHEN c + l = 0 THEN 0.0 ELSE c / (c + l) END, 6) AS share, w >= 50 AS meaningful FROM c""",
     "json_leaves": "SELECT event_id, array_to_string(list_transform(json_keys(props), lambda k: 'root.' || k || ': ' || json_extract_string(props, '$.' || k)), chr(10)) AS lines FROM events",

@@ -16,6 +16,7 @@ from ..operators import classifier as C
 from ..operators import document as D
 from ..operators import finding as B
 from ..sources.decode import repair_texts
+from ..sources.extract import json_lines
 from ..streaming.stream import event_windows, user_sessions
 from . import report as R
 
@@ -172,10 +173,21 @@ def results_found(spark, d):
     return table(spark, d, "scan_result").where("findings_count > 0").select("size", F.col("time_text").alias("time"), "name")
 
 
+def _finalized(spark, d, limit: int) -> DataFrame:
+    done = N.finalize(F.col("text"), limit)
+    return table(spark, d, "extracted_content").select("content_id", K.value_hash(done["text"]).alias("hash"), F.length(done["text"]).alias("chars"), done["truncated"].alias("truncated"))
+
+
 @query
 def finalize_text(spark, d):
-    done = N.finalize(F.col("text"), 3000)
-    return table(spark, d, "extracted_content").select("content_id", K.value_hash(done["text"]).alias("hash"), F.length(done["text"]).alias("chars"), done["truncated"].alias("truncated"))
+    """File texts in their final form, with a limit that some of them pass."""
+    return _finalized(spark, d, 3000)
+
+
+@query
+def finalize_text_of_scan(spark, d):
+    """File texts in their final form, with the limit of a scan."""
+    return _finalized(spark, d, 200_000)
 
 
 @query
@@ -210,9 +222,8 @@ def binary_strings(spark, d):
 
 @query
 def json_leaves(spark, d):
-    """Leaves of one-level JSON values as lines."""
-    pairs = F.map_entries(F.from_json("props", "map<string,string>"))
-    return table(spark, d, "events").select("event_id", F.array_join(F.transform(pairs, lambda e: F.concat(F.lit("root."), e["key"], F.lit(": "), e["value"])), "\n").alias("lines"))
+    """Leaves of JSON values as lines, as the reader of JSON files gives them."""
+    return table(spark, d, "events").select("event_id", json_lines("props").alias("lines"))
 
 
 @query
@@ -241,13 +252,13 @@ def finding_rows(spark, d):
 @query
 def finding_emails(spark, d):
     """Mailboxes found in chunks, masked and hashed, once a file."""
-    return B.findings(_chunks(spark, d)).where("category = 'EMAIL'").select("path", "hash", "masked")
+    return B.findings(_chunks(spark, d), only=("EMAIL",)).select("path", "hash", "masked")
 
 
 @query
 def finding_field_cells(spark, d):
     """Whole-cell findings by field name, once a file."""
-    return B.findings(_chunks(spark, d)).where("category IN ('ADDRESS', 'BIRTH_PLACE')").select("path", "category", "hash", "masked")
+    return B.findings(_chunks(spark, d), only=("ADDRESS", "BIRTH_PLACE")).select("path", "category", "hash", "masked")
 
 
 @query

@@ -18,8 +18,11 @@ from collections.abc import Callable, Iterable
 from time import perf_counter
 from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import vocab
 from ..config import ScanConfig
@@ -110,6 +113,19 @@ def flatten(value, at: str = "root"):
             yield f"{where}: {v}"
 
 
+@F.pandas_udf(StringType())
+def json_lines(values: pd.Series) -> pd.Series:
+    """Column form of ``flatten``: a line for each leaf; null for null and for what is no JSON."""
+
+    def lines(v: str | None) -> str | None:
+        try:
+            return None if v is None else "\n".join(flatten(json.loads(v)))
+        except (ValueError, RecursionError):
+            return None
+
+    return values.map(lines)
+
+
 def json_text(raw: bytes, c: ScanConfig) -> Extracted:
     text = decode(raw)
     try:
