@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,9 +140,7 @@ class Leaks:
         return sorted({self.items[k][0] for k in found})
 
 
-@lru_cache(maxsize=8)
-def _leaks(items: tuple, min_words: int, spacing: int, seed: int) -> Leaks:
-    return Leaks(list(items), min_words, spacing, seed)
+_STATE: dict[str, Leaks] = {}
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, spacing: int = SPACING, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -164,10 +162,15 @@ def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS,
     out = None
     for b in range(blocks):
         part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        block = tuple(sorted((r[0], r[1]) for r in part.collect()))
-
-        def run(cols, block=block):
-            leaks = _leaks(block, min_words, spacing, seed)
+        # a broadcast's value lies in a file, so the driver holds one block at a time, and so does a worker
+        sent = docs.sparkSession.sparkContext.broadcast(tuple(sorted((r[0], r[1]) for r in part.toLocalIterator())))
+        name = uuid.uuid4().hex
+
+        def run(cols, sent=sent, name=name):
+            if name not in _STATE:
+                _STATE.clear()
+                _STATE[name] = Leaks(list(sent.value), min_words, spacing, seed)
+            leaks = _STATE[name]
             ids, found = [], []
             for i, text in zip(cols["doc_id"], cols["_text"]):
                 own = leaks.of(text)

@@ -37,6 +37,8 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW = 3
 #: Texts are decoded in pieces of at most so many tokens, cut behind a sentence or at an empty line.
 PIECE = 400
+#: Rows of the labelled table of more tokens are not trained on.
+LONGEST = 42
 #: So large a share of words is hidden in training, where their shapes must do.
 UNREAD = 0.3
 #: Weights of neighbours, and of words themselves, are held down so many times as much as those of a token's shape.
@@ -248,6 +250,8 @@ def train(rounds: int = 200, rate: float = 0.1, l2: float = 2e-5, seed: int = 7,
     seqs = []
     for text, spans in rows:
         keys, starts, ends, flags = tokens(text)
+        if len(keys) > LONGEST:
+            continue  # a few rows that would make every round of training long
         y = np.zeros(len(keys), np.int8)
         for a, b, kind in spans:
             inside = [k for k in range(len(keys)) if starts[k] >= a and ends[k] <= b]
@@ -262,13 +266,13 @@ def train(rounds: int = 200, rate: float = 0.1, l2: float = 2e-5, seed: int = 7,
             for x in by_kind[k]:
                 counts[x] = counts.get(x, 0) + 1
     vocabulary = {x: i for i, x in enumerate(sorted(x for x, n in counts.items() if n >= 4))}
-    # every kind of token has a second row without the word itself, so that shapes are learnt and not the table's words
-    m = np.zeros((2 * len(kinds), len(vocabulary)), np.float32)
+    # the features of every kind of token, and once more without the word itself, so that shapes are learnt and not the table's words; a row of zeros where there are fewer
+    most = max(len(x) for x in by_kind.values())
+    ids = np.full((2 * len(kinds), most), len(vocabulary))
     for i, k in enumerate(kinds):
-        for x in by_kind[k]:
-            if x in vocabulary:
-                m[i, vocabulary[x]] = 1
-                m[len(kinds) + i, vocabulary[x]] = not (by_kind[k][0] == "word" and x[:2] in ("w=", "p="))
+        own = [vocabulary[x] for x in by_kind[k] if x in vocabulary]
+        bare = [vocabulary[x] for x in by_kind[k] if x in vocabulary and not (by_kind[k][0] == "word" and x[:2] in ("w=", "p="))]
+        ids[i, : len(own)], ids[len(kinds) + i, : len(bare)] = own, bare
     number = {k: i for i, k in enumerate(kinds)}
     size, count, labels = max(len(s[0]) for s in seqs), len(seqs), len(LABELS)
     kind = np.full((count, size + 2 * WINDOW), -1)
@@ -303,9 +307,12 @@ def train(rounds: int = 200, rate: float = 0.1, l2: float = 2e-5, seed: int = 7,
         used = np.unique(kb[kb >= 0])
         place = np.full(2 * len(kinds) + 1, len(used))
         place[used] = np.arange(len(used))
-        mu = m[used]
+        own = ids[used]
+        order = np.argsort(own.ravel(), kind="stable")
+        features_used, starts_used = np.unique(own.ravel()[order], return_index=True)
         for o in range(2 * WINDOW + 1):
-            rowsw = np.concatenate([mu @ w[o], np.zeros((1, labels), np.float32)])
+            rowsw = np.zeros((len(used) + 1, labels), np.float32)
+            rowsw[:-1] = np.concatenate([w[o], np.zeros((1, labels), np.float32)])[own].sum(1)
             e += rowsw[place[(kb if o == WINDOW else near)[:, o : o + width]]]
         for bit in range(3):
             e += f[bit] * ((fb >> bit) & 1)[..., None]
@@ -333,7 +340,8 @@ def train(rounds: int = 200, rate: float = 0.1, l2: float = 2e-5, seed: int = 7,
         for o in range(2 * WINDOW + 1):
             acc = np.zeros((len(used) + 1, labels), np.float32)
             np.add.at(acc, place[(kb if o == WINDOW else near)[:, o : o + width]].ravel(), g.reshape(-1, labels))
-            gw[o] = mu.T @ acc[:-1]
+            sums = np.add.reduceat(np.repeat(acc[:-1], own.shape[1], 0)[order], starts_used)
+            gw[o][features_used[features_used < len(vocabulary)]] = sums[features_used < len(vocabulary)]
         gf = np.stack([(g * ((fb >> bit) & 1)[..., None]).sum((0, 1)) for bit in range(3)])
         gt = np.zeros_like(t)
         for k in range(1, width):

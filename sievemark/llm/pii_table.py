@@ -23,7 +23,7 @@ SURNAMES = """Иванов Смирнов Попов Васильев Петро
 Макаров Захаров Соловьёв Борисов Романов Максимов Осипов Белов Комаров Киселёв Ильин Баранов Сорокин Казаков Ефимов Антонов Егоров Титов Кудрявцев Куликов Абрамов Рыбаков
 Жуков Исаев Калашников Колесников Галкин Медведев Субботин Лапшин Тарасов Носков Родионов Шубин Блинов Горшков Пономарёв Ширяев Чернышёв Быков Лыткин Третьяков Пахомов Молчанов Савин Сухарев Щукин""".split()
 # fixed values: large towns, and usual street names by the form in which they stand beside the word for street
-TOWNS = "Тверь|Самара|Казань|Омск|Пермь|Тюмень|Рязань|Калуга|Псков|Тула|Саратов|Ярославль|Барнаул|Великий Новгород|Нижний Тагил|Набережные Челны|Старый Оскол|Вологда|Курск|Кострома|Архангельск|Ростов".split("|")
+TOWNS = "Тверь|Самара|Казань|Омск|Пермь|Тюмень|Рязань|Калуга|Псков|Тула|Саратов|Ярославль|Барнаул|Великий Новгород|Нижний Тагил|Набережные Челны|Старый Оскол|Вологда|Курск|Кострома|Архангельск|Ростов|Нижний Новгород|Старая Русса|Минеральные Воды|Сергиев Посад|Великие Луки|Горячий Ключ|Павловский Посад".split("|")
 VILLAGES = "Михайловка|Берёзовка|Сосновка|Покровское|Дальний|Верхняя Тура|Ильинское|Малиновка|Рождествено".split("|")
 STREETS = "Ленина|Гагарина|Пушкина|Кирова|Чапаева|Горького|Пролетарская|Октябрьская|Молодёжная|Комсомольская|Вокзальная|Дачная|Парковая|Центральная|Спортивная|Тенистая|1 Мая|Третья Линия|Большая Морская|Верхняя Набережная|Степана Разина|Карла Маркса|Юных Ленинцев".split("|")
 LANES = "Почтовый Банный Глухой Больничный Столярный Кузнечный Весенний Колодезный".split()
@@ -173,7 +173,7 @@ def address(r: random.Random) -> str:
     if r.random() < 0.09:
         flat = r.choice(("", f", apt. {f}", f", flat {f}", f", apt {f}"))
         return f"{h} {r.choice(ENGLISH)} {r.choice(('Street', 'Lane', 'Road', 'Avenue', 'Drive'))}{flat}"
-    town = r.choice((*(f"г. {r.choice(TOWNS)}",) * 4, *(f"г.{r.choice(TOWNS)}",) * 2, f"город {r.choice(TOWNS)}", *(r.choice(TOWNS),) * 2, f"пос. {r.choice(VILLAGES)}", f"с. {r.choice(VILLAGES)}", f"дер. {r.choice(VILLAGES)}", f"посёлок {r.choice(VILLAGES)}"))
+    town = r.choice((*(f"г. {r.choice(TOWNS)}",) * 4, *(f"г.{r.choice(TOWNS)}",) * 2, f"город {r.choice(TOWNS)}", *(r.choice(TOWNS),) * 3, f"пос. {r.choice(VILLAGES)}", f"с. {r.choice(VILLAGES)}", f"дер. {r.choice(VILLAGES)}", f"посёлок {r.choice(VILLAGES)}"))
     s = r.choice(STREETS)
     way = r.choice(
         (
@@ -194,7 +194,7 @@ def address(r: random.Random) -> str:
         out = f"{town}, {out}"
         if r.random() < 0.4:
             out = f"{z}, {out}"
-        elif r.random() < 0.08:
+        elif r.random() < 0.15:
             out = f"{out}, {z}"
     return out
 
@@ -295,7 +295,7 @@ _KEYS = {
 
 def row(r: random.Random) -> str:
     """A row of a table, of a card or of nested keys, as a wording."""
-    cells = r.sample(["n0", "p", "m", "a", "d3", "d2"], r.choice((1, 2, 2, 3, 3, 4)))
+    cells = r.sample(["n0", "p", "m", "a", "a", "d3", "d2"], r.choice((1, 2, 2, 3, 3, 4)))
     k = r.random()
     if k < 0.4:
         return " | ".join("{%s}" % c for c in cells)
@@ -323,7 +323,7 @@ def labelled(seed: int = 7, each: int = 28, without: int | None = None, only: in
     single = [_fill(w, r) for w in taken(_WITH) for _ in range(each)] + [_fill(w, r) for w in taken(_WITHOUT) for _ in range(each // 2)]
     if only is not None:
         return single
-    single += [_fill(row(r), r) for _ in range(each * 24)] + [_fill("{w}", r) for _ in range(each * 16)]
+    single += [_fill(row(r), r) for _ in range(each * 34)] + [_fill("{w}", r) for _ in range(each * 16)]
     r.shuffle(single)
     out = []
     k = 0
