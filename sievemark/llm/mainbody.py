@@ -1,14 +1,14 @@
 """Problem 2: the main body of web pages by gradient-boosted trees over page-node features.
 
 The tags of these pages are gone, so the tree is rebuilt from what is left: a
-page has blocks (runs of lines between empty ones), a block has lines, and a
-line has items (its parts between menu separators).  Each line gets features of
-itself, its items, its siblings, its block and its depth on the page, and how
-common it, its items and its opening are over all pages, as lines and as names
-of pages.  Boosted trees give the odds that a line
-belongs to the body; hierarchical decoding decides from the page downwards: has
-it a body at all, which one region of it has the highest total, and which lines
-of that region belong, so a line is never kept in a part that is not.
+page has blocks (runs of lines of one kind between empty ones), a block has
+lines, and a line has items (its parts between menu separators).  Each line gets
+features of itself, its items, its siblings, its block and its depth on the
+page, the density of prose around it, stems that stand for a tag's attributes,
+and how common it, its items and its opening are over all pages, as lines and
+as names of pages.  Boosted trees give the odds that a line belongs to the body,
+others those that a block holds such a line; hierarchical decoding takes the
+best choice over the tree of page, blocks and lines that has no contradiction.
 
 The trees are trained on the lines of invented pages (``page_table``), whose
 labels are known, and then once more together with at most ``SAMPLE`` pages of
@@ -26,6 +26,7 @@ import math
 import re
 import uuid
 from collections import Counter
+from dataclasses import dataclass
 
 from functools import lru_cache
 from itertools import accumulate
@@ -336,23 +337,100 @@ class Trees:
             self._add(tree, b, rows[~left], x, out)
 
 
-def decode(odds: np.ndarray, lines: list[str] | None = None, bridge: float = 1.2) -> list[int]:
-    """Lines kept: those with positive odds inside the region of the highest total.
+def blocks_of(at: list[int], lines: list[str]) -> list[tuple[int, int]]:
+    """Blocks ``[a, b)`` of a page's lines: runs of one kind (headings, prose, lists, table rows) between empty lines."""
 
-    Inside a region a line that does not belong costs at most ``bridge``, so
-    links between paragraphs do not end it; a long side column does.
+    def sort(v: str) -> int:
+        _, _, _, _, ends, bullet, _ = _info(v)
+        return 2 if bullet or v[-1] in ";:" else 3 if " | " in v else 1 if ends else 0
+
+    out, start = [], 0
+    kinds = [sort(v) for v in lines]
+    for j in range(1, len(lines) + 1):
+        if j == len(lines) or kinds[j] != kinds[j - 1] or at[j] != at[j - 1] + 1:
+            out.append((start, j))
+            start = j
+    return out
+
+
+def block_features(x: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
+    """A row for each block: its size, and the mean and the highest of its lines' features."""
+    if not blocks:
+        return np.zeros((0, 2 * x.shape[1] + 1), np.float32)
+    starts = [a for a, _ in blocks]
+    size = np.array([b - a for a, b in blocks], np.float32)
+    return np.concatenate([size[:, None], np.add.reduceat(x, starts, 0) / size[:, None], np.maximum.reduceat(x, starts, 0)], 1)
+
+
+@dataclass
+class Model:
+    """Odds of lines to belong to the body, and of blocks to hold a line that does."""
+
+    lines: Trees
+    blocks: Trees
+
+    def decide(self, parts: list[tuple[list[int], list[str], np.ndarray]]) -> list[list[int]]:
+        """Lines kept of each page ``(places, lines, features)``."""
+        own = [blocks_of(at, lines) for at, lines, _ in parts]
+        full = [p for p in parts if p[1]]
+        if not full:
+            return [[] for _ in parts]
+        line_odds = self.lines.odds(np.concatenate([x for *_, x in parts]))
+        block_odds = self.blocks.odds(np.concatenate([block_features(x, b) for (*_, x), b in zip(parts, own) if b]))
+        out, n, m = [], 0, 0
+        for (_, lines, x), blocks in zip(parts, own):
+            out.append(decode(line_odds[n : n + len(x)], lines, blocks, block_odds[m : m + len(blocks)]))
+            n, m = n + len(x), m + len(blocks)
+        return out
+
+
+def fit(parts: list[tuple[list[int], list[str], np.ndarray]], labels: list) -> Model:
+    """Trees of both levels from labelled pages."""
+    xs, ys, bx, by = [np.zeros((0, FEATURES), np.float32)], [np.zeros(0)], [np.zeros((0, 2 * FEATURES + 1), np.float32)], [np.zeros(0)]
+    for (at, lines, x), y in zip(parts, labels):
+        if lines:
+            blocks, y = blocks_of(at, lines), np.asarray(y, float)
+            xs.append(x)
+            ys.append(y)
+            bx.append(block_features(x, blocks))
+            by.append(np.array([y[a:b].max() for a, b in blocks]))
+    return Model(Trees().fit(np.concatenate(xs), np.concatenate(ys)), Trees(rounds=40).fit(np.concatenate(bx), np.concatenate(by)))
+
+
+#: What a block inside the body that does not belong to it costs, and how much a block's own odds count beside its lines'.
+BRIDGE, BLOCK_WEIGHT = 0.4, 1.0
+
+
+def decode(odds: np.ndarray, lines: list[str] | None = None, blocks: list[tuple[int, int]] | None = None, block_odds: np.ndarray | None = None) -> list[int]:
+    """Lines kept: the best choice over the tree of page, blocks and lines in which no line is kept without its block, and no block outside the page's one region.
+
+    From below, a block is worth its own odds and those of its best lines, at
+    least one; from above, the region is the run of blocks of the highest
+    total, in which a block that is dropped costs at most ``BRIDGE`` a line, so
+    a link between paragraphs does not end it and a long side column does.
+    Without blocks, every line is one.
     """
-    s = np.clip(odds, -bridge, 4.0)
-    best, region, total, start = 0.0, None, 0.0, 0
-    for i, v in enumerate(s.tolist()):
+    n = len(odds)
+    blocks = blocks if blocks is not None else [(j, j + 1) for j in range(n)]
+    own = np.clip(odds, -4.0, 4.0).tolist()
+    worth, kept_of = [], []
+    for k, (a, b) in enumerate(blocks):
+        best = [j for j in range(a, b) if own[j] > 0] or [max(range(a, b), key=own.__getitem__)]
+        value = sum(own[j] for j in best) + (BLOCK_WEIGHT * float(np.clip(block_odds[k], -4.0, 4.0)) if block_odds is not None else 0.0)
+        value -= sum(min(BRIDGE, -own[j]) for j in range(a, b) if own[j] < 0 and j not in best)
+        left = -sum(min(BRIDGE, max(0.0, -own[j])) if own[j] < 0 else 0.3 for j in range(a, b))  # dropped
+        worth.append(max(value, left))
+        kept_of.append(best if value > left else [])
+    top, region, total, start = 0.0, None, 0.0, 0
+    for k, v in enumerate(worth):
         if total <= 0:
-            total, start = 0.0, i
+            total, start = 0.0, k
         total += v
-        if total > best:
-            best, region = total, (start, i)
+        if total > top:
+            top, region = total, (start, k)
     if region is None:
         return []
-    kept = [i for i in range(region[0], region[1] + 1) if odds[i] > 0]
+    kept = [j for k in range(region[0], region[1] + 1) for j in kept_of[k]]
     if lines is None or not kept:
         return kept
     # a body has its headline before it, unless nothing there could be one
@@ -414,37 +492,31 @@ def count_locally(texts: list[str]) -> Commons:
 
 
 @lru_cache(maxsize=1)
-def invented() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the invented pages, in sets of different size and number of sites."""
-    parts = []
+def invented() -> tuple[list, list]:
+    """Invented pages as ``(places, lines, features)``, and their labels, in sets of different size and number of sites."""
+    parts, labels = [], []
     for seed, (count, sites) in enumerate(((550, 40), (250, 20), (150, 50), *((40, 1),) * 6), 11):
         made = page_table.pages(count, seed, sites)
-        texts = [t for t, _ in made]
-        own = count_locally(texts)
-        parts += [(features(text, own)[2], np.array(y, float)) for text, y in made]
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        own = count_locally([t for t, _ in made])
+        parts += [features(t, own) for t, _ in made]
+        labels += [y for _, y in made]
+    return parts, labels
 
 
 @lru_cache(maxsize=1)
-def first_trees() -> Trees:
-    return Trees().fit(*invented())
+def first_model() -> Model:
+    return fit(*invented())
 
 
-def train(sample: list[str], commons: list[Commons]) -> Trees:
+def train(sample: list[str], commons: list[Commons]) -> Model:
     """Trees of the invented pages, then of these and the sample pages as the first trees and the decoding see them."""
-    x0, y0 = invented()
-    first = first_trees()
-    parts = [features(text, own)[1:] for text, own in zip(sample, commons)]
-    xs, ys = [x0], [y0]
-    for lines, x in parts:
-        if lines:
-            kept = set(decode(first.odds(x), lines))
-            xs.append(x)
-            ys.append(np.array([j in kept for j in range(len(lines))], float))
-    return Trees().fit(np.concatenate(xs), np.concatenate(ys))
+    parts, labels = invented()
+    own = [features(text, c) for text, c in zip(sample, commons)]
+    kept = first_model().decide(own)
+    return fit(parts + own, labels + [[j in k for j in range(len(lines))] for (_, lines, _), k in zip(own, map(set, kept))])
 
 
-_STATE: dict[str, tuple[Commons, Trees]] = {}
+_STATE: dict[str, tuple[Commons, Model]] = {}
 
 
 def _with_commons(rows: DataFrame, commons: Commons, rare: DataFrame | None) -> DataFrame:
@@ -472,14 +544,11 @@ def keep_lines(pages: DataFrame, sample: int = SAMPLE, common: float = COMMON) -
         if name not in _STATE:
             _STATE.clear()
             _STATE[name] = sent.value
-        own, trees = _STATE[name]
+        own, model = _STATE[name]
         lists = cols.get("rare") or [None] * len(cols["text"])
         parts = [features(t, own.of_page(t, r)) for t, r in zip(cols["text"], lists)]
-        odds = trees.odds(np.concatenate([p[2] for p in parts])) if parts else np.empty(0)
-        out, done = {"content_id": [], "line_no": []}, 0
-        for i, (at, lines, x) in zip(cols["content_id"], parts):
-            kept = decode(odds[done : done + len(x)], lines)
-            done += len(x)
+        out = {"content_id": [], "line_no": []}
+        for i, (at, _, _), kept in zip(cols["content_id"], parts, model.decide(parts)):
             out["content_id"] += [i] * len(kept)
             out["line_no"] += [at[k] + 1 for k in kept]
         return out

@@ -73,10 +73,9 @@ def test_trees_on_pages_of_other_sites():
 
     made = page_table.pages(300, 977, 25)
     commons = mainbody.count_locally([t for t, _ in made])
-    trees, hit, found, true = mainbody.first_trees(), 0, 0, 0
+    model, hit, found, true = mainbody.first_model(), 0, 0, 0
     for text, body in made:
-        _, lines, x = mainbody.features(text, commons)
-        kept = set(mainbody.decode(trees.odds(x), lines))
+        kept = set(model.decide([mainbody.features(text, commons)])[0])
         own = {j for j, y in enumerate(body) if y}
         hit, found, true = hit + len(kept & own), found + len(kept), true + len(own)
     assert hit / found > 0.97 and hit / true > 0.97
@@ -91,6 +90,35 @@ def test_page_table_is_not_taken_from_the_test_tables(spark, sf):
     assert not own & pages
 
 
+def test_decoding_against_all_choices():
+    """Over the tree of page, blocks and lines: no other choice without contradiction is worth more."""
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        blocks, n = [], 0
+        for _ in range(rng.integers(1, 5)):
+            size = int(rng.integers(1, 4))
+            blocks.append((n, n + size))
+            n += size
+        odds, own = rng.normal(0, 2.5, n), rng.normal(0, 2, len(blocks))
+
+        def worth(kept: set[int]) -> float:
+            holds = [k for k, (a, b) in enumerate(blocks) if kept & set(range(a, b))]
+            total = 0.0
+            for k in range(min(holds), max(holds) + 1) if holds else ():
+                for j in range(*blocks[k]):
+                    o = float(np.clip(odds[j], -4, 4))
+                    gone = 0.3 if o >= 0 else min(mainbody.BRIDGE, -o)
+                    total += o if j in kept else -gone if k not in holds or o < 0 else -1e9
+                total += mainbody.BLOCK_WEIGHT * float(np.clip(own[k], -4, 4)) if k in holds else 0.0
+            return total
+
+        best = max(worth({j for j, y in enumerate(pick) if y}) for pick in product((0, 1), repeat=n))
+        got = set(mainbody.decode(odds, None, blocks, own))
+        assert worth(got) >= best - 1e-6, (odds, own, blocks, got)
+
+
 def test_odds_decide_on_lines_like_surroundings():
     lines = [
         "Отопление — работы идут по графику", "Реклама лекарств в аптеках разрешена, " + "если знак стоит на каждом листе, " * 4 + "как и прежде.", "Политика конфиденциальности обсуждалась на встрече жильцов.",
