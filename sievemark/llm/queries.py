@@ -74,7 +74,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages, lines that were garbled by a wrong character set restored where that keeps the lines apart."""
     contents = table(spark, sf_dir, "extracted_content")
     pages = with_extractor(contents, table(spark, sf_dir, "scan_result"), HTML_EXTRACTORS)
-    garbled = charset.garbled(pages.select(F.lit("extracted_content").alias("rec_table"), F.col("content_id").alias("rec_id"), "text"), corpus=contents, with_text=True)
+    garbled = charset.garbled(pages.select(F.lit("extracted_content").alias("rec_table"), F.col("content_id").alias("rec_id"), "text"), with_text=True)
     feeds = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     restored = F.when(feeds(F.col("restored")) == feeds(F.col("text")), F.col("restored"))
     return pages.join(garbled.select(F.col("rec_id").alias("content_id"), "restored"), "content_id", "left").select("content_id", F.coalesce(restored, "text").alias("text"))
