@@ -81,6 +81,8 @@ ABBREVIATIONS = {
 _ABBREVIATIONS = {k: tuple(frozenset(x.split()) for x in v) for k, v in ABBREVIATIONS.items()}
 #: Where usual words do not tell the language, what both have.
 _ABBREVIATIONS["latin"] = tuple(a & b if k == 0 else a | b for k, (a, b) in enumerate(zip(_ABBREVIATIONS["en"], _ABBREVIATIONS["de"])))
+_ANY_LATIN = frozenset().union(*_ABBREVIATIONS["en"], *_ABBREVIATIONS["de"])
+_NONE = (frozenset(),) * 3
 # fixed values: the most usual words of English and German
 _USUAL = {
     "en": frozenset("the of and to in is was were for that with are at by on from it this which be has have not as we he she they you".split()),
@@ -286,6 +288,8 @@ class _Paragraph:
         """The lists of the language that ``word`` stands in."""
         script = _script(word)
         if script == "latin":
+            if word.lower() not in _ANY_LATIN:
+                return _NONE
             if self.language is None:
                 self.language = _latin_language(self.text)
                 if self.language == "latin":
