@@ -44,4 +44,4 @@ def test_runs(spark, sf, name):
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["doc_id", "emails", "uz"] and df.count() > 0
+    assert df.columns == ["content_id", "common", "state", "pay", "bio", "special", "uz", "findings_count", "advice"] and df.count() > 0
