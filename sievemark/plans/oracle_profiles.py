@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 
 from .. import vocab
+from . import formats
 from . import oracle as O
 
 _DIGIT, _WORD = r"\p{Nd}", r"\p{L}\p{M}\p{Nd}\p{Pc}"
@@ -224,7 +225,34 @@ _LINES = f"""{O._REPORT}, s AS (SELECT path, coalesce('UZ-' || uz_level, 'none')
     SELECT {_PAD('l', 6)} || ' ' || {_PAD('g', 32)} || ' ' || {_PAD('n', 50)} || ' ' || path AS value FROM s"""
 _FOUND_PHONES = _spans("(SELECT chunk_id, text AS t, '' AS low FROM text_chunk WHERE text IS NOT NULL)", _F_PHONE, "chunk_id", _DIGIT)
 
+_PLAIN = f"(SELECT content_id::VARCHAR AS id, regexp_replace(coalesce(text, ''), {q(formats.PLAIN)}, ' ', 'g') AS t FROM extracted_content)"
+_FINAL = lambda x: f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
+_CELL = "trim(t)"
+#: What each reader makes of a packed text, and the name of its method.
+_READ = {
+    "txt": ("t", "plain_text"), "html": ("'Титул ' || t", "html_regex"), "json": ("'root.a.b: ' || t || chr(10) || 'root.a.n: 1' || chr(10) || 'root.l[0]: True' || chr(10) || 'root.l[1]: None'", "json"),
+    "csv": (f"'фио | сумма' || chr(10) || CASE WHEN {_CELL} = '' THEN '5' ELSE 'ФИО: ' || {_CELL} || ' | 5' END", "csv"), "rtf": ("t", "rtf_regex"), "docx": ("t", "docx_zip_xml"),
+    "xlsx": ("'[sheet] Лист1' || chr(10) || 'ФИО | Итог' || chr(10) || t || ' | 5'", "xlsx_openpyxl"),
+}
+_CHUNKED = (
+    ("txt", 0, "#body", "NULL", _CELL), ("html", 0, "#title", "'title'", "'Титул'"), ("html", 1, "#body", "NULL", _CELL), ("rtf", 0, "#body", "NULL", _FINAL("t")), ("docx", 0, "#para=1", "NULL", _CELL), ("xlsx", 0, "#sheet=Лист1!R2C1", "'ФИО'", _CELL),
+)
+_HASH = lambda x: f"substr(sha256({x}), 1, 16)"
+_TEXT_CELL = "coalesce(text, '')"
+_fragment = lambda p: f"regexp_matches({_TEXT_CELL}, {q(_plain(p))})"
+_CODE6 = f"regexp_matches({_TEXT_CELL}, '(?:^|[^{_N}]){_N}{{6}}(?:[^{_N}]|$)')"
+
 STATEMENTS = VALUES | {
+    "texts_of_formats": " UNION ALL ".join(f"SELECT id || '.{k}' AS path, '{k}' AS file_format, '{method}' AS method, 'done' AS status, length({_FINAL(x)}) > 200000 AS truncated, {_HASH(f'substr({_FINAL(x)}, 1, 200000)')} AS hash FROM {_PLAIN}" for k, (x, method) in _READ.items()),
+    "chunks_of_formats": " UNION ALL ".join(f"SELECT id || '.{k}' AS path, {n}::INT AS chunk_seq, id || '.{k}{place}' AS source, {name} AS field_name, {_HASH(x)} AS hash FROM {_PLAIN} WHERE {x} <> ''" for k, n, place, name, x in _CHUNKED)
+    + f" UNION ALL SELECT id || '.xlsx', CASE WHEN {_CELL} = '' THEN 0 ELSE 1 END, id || '.xlsx#sheet=Лист1!R2C2', 'Итог', {_HASH("'5'")} FROM {_PLAIN}",
+    "states_of_formats": "SELECT k AS extension, CASE WHEN k IN ('json', 'csv') THEN 'skipped' ELSE 'ok' END AS status, false AS via_ocr, count(*) AS files FROM extracted_content, (SELECT unnest(['txt', 'html', 'json', 'csv', 'rtf', 'docx', 'xlsx']) AS k) GROUP BY k",
+    "decoded_bytes": f"SELECT content_id, {_HASH('text')} AS one, {_HASH('chr(65279) || text')} AS two FROM extracted_content WHERE text IS NOT NULL",
+    "mentions_and_names": f"""SELECT chunk_id, {_NAME_LIKE.replace('(t,', f'({_TEXT_CELL},')} AS name,
+        ({_fragment(vocab.ADDRESS_CONTEXT)} AND (({_fragment(vocab.ADDRESS_STREET)} AND {_fragment(vocab.ADDRESS_HOUSE)}) OR ({_CODE6} AND {_fragment(vocab.ADDRESS_STREET)}))
+        OR len(regexp_extract_all({_TEXT_CELL}, {q(_plain(vocab.ADDRESS_PART))})) >= 3 AND ({_fragment(vocab.ADDRESS_HOUSE)} OR {_fragment(vocab.ADDRESS_FLAT)} OR {_CODE6})) AS address,
+        coalesce(year(try_strptime(replace(regexp_extract({_TEXT_CELL}, '[0-9]{{2}}[./][0-9]{{2}}[./][0-9]{{4}}'), '/', '.'), '%d.%m.%Y')) BETWEEN 1900 AND 2026, false) AS birth,
+        length({_TEXT_CELL}) IN (30, 36, 44) AND regexp_full_match({_TEXT_CELL}, '[A-Z0-9<]+') AS mrz, {_whole_word(f'lower({_TEXT_CELL})', vocab.PERSON_WORDS)} AS person FROM text_chunk""",
     "document_profile": _profile(True),
     "document_profile_ungated": _profile(False),
     "finding_rows": _findings(),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..config import ScanConfig
 from ..functions import masking as K
 from ..functions import normalize as N
 from ..functions import validators as V
@@ -15,9 +16,11 @@ from ..functions.spans import find_spans
 from ..operators import classifier as C
 from ..operators import document as D
 from ..operators import finding as B
-from ..sources.decode import repair_texts
-from ..sources.extract import json_lines
+from ..sources.chunks import chunk_files, read_chunks, states_of
+from ..sources.decode import decode_bytes, repair_texts
+from ..sources.extract import extract_files, json_lines
 from ..streaming.stream import event_windows, user_sessions
+from . import formats
 from . import report as R
 
 #: The last year of a birth date in queries, so that results do not change with the calendar.
@@ -226,6 +229,44 @@ def json_leaves(spark, d):
     return table(spark, d, "events").select("event_id", json_lines("props").alias("lines"))
 
 
+def _files(spark, d) -> DataFrame:
+    return formats.files(spread(table(spark, d, "extracted_content").select("content_id", "text")), "content_id", "text")
+
+
+@query
+def texts_of_formats(spark, d):
+    """Every file text packed in seven formats and read again by the document profile's readers."""
+    rows = extract_files(_files(spark, d), ScanConfig(""))
+    return rows.select("path", "file_format", "method", "status", "truncated", K.value_hash(F.col("text")).alias("hash"))
+
+
+@query
+def chunks_of_formats(spark, d):
+    """The same files as chunks of the finding profile."""
+    return chunk_files(_files(spark, d)).select("path", "chunk_seq", "source", "field_name", K.value_hash(F.col("text")).alias("hash"))
+
+
+@query
+def states_of_formats(spark, d):
+    """How many files of each format were read, and how many have no reader of chunks."""
+    return states_of(read_chunks(_files(spark, d))).groupBy("extension", "status", "via_ocr").agg(F.count("*").alias("files"))
+
+
+@query
+def decoded_bytes(spark, d):
+    """Texts encoded in two ways and decoded by the rules for bytes of unknown encoding; the mark of a two-byte text stays."""
+    rows = spread(table(spark, d, "extracted_content").where("text IS NOT NULL").select("content_id", "text"))
+    h = lambda charset: K.value_hash(decode_bytes(F.encode("text", charset)))
+    return rows.select("content_id", h("UTF-8").alias("one"), h("UTF-16").alias("two"))
+
+
+@query
+def mentions_and_names(spark, d):
+    """Checks of single cells: names by their shape, addresses by their parts, dates of birth, machine-readable lines."""
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, d, "text_chunk").select("chunk_id", V.full_name_like(t).alias("name"), V.address_like(t).alias("address"), V.birth_date_valid(F.regexp_extract(t, r"\d{2}[./]\d{2}[./]\d{4}", 0), YEAR).alias("birth"), V.mrz_valid(t).alias("mrz"), V.has_person_word(F.lower(t)).alias("person"))
+
+
 @query
 def phone_keys(spark, d):
     """Phone numbers of chunks in their normal form, a row each."""
