@@ -11,7 +11,7 @@ compared word by word for a whole stretch.
 
 Defined results: null, empty and blank texts (documents or items) match
 nothing, nor does an item of fewer than ``min_words`` words; repeated rows are
-reported each; an item is reported once a document.
+reported each; an item is reported once a document; ids may be null.
 """
 
 from __future__ import annotations
@@ -93,6 +93,11 @@ class WuManber:
             at += 1
 
 
+def _order(i: int | None) -> tuple[bool, int]:
+    """Ids in their order, null last."""
+    return i is None, i or 0
+
+
 def holds_stretch(same: list[bool], min_words: int = MIN_WORDS, spacing: int = SPACING) -> bool:
     """Is there a stretch of ``min_words`` that begins and ends with equal words, with at most one unequal in any ``spacing``?"""
     start, last = 0, None  # the stretch's first word; its last unequal word
@@ -137,7 +142,7 @@ class Leaks:
             same = [x == y for x, y in zip(own[a:], item[b:])]
             if holds_stretch(same, self.min_words, self.spacing):
                 found.add(k)
-        return sorted({self.items[k][0] for k in found})
+        return sorted({self.items[k][0] for k in found}, key=_order)
 
 
 _STATE: dict[str, Leaks] = {}
@@ -163,7 +168,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS,
     for b in range(blocks):
         part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         # a broadcast's value lies in a file, so the driver holds one block at a time, and so does a worker
-        sent = docs.sparkSession.sparkContext.broadcast(tuple(sorted((r[0], r[1]) for r in part.toLocalIterator())))
+        sent = docs.sparkSession.sparkContext.broadcast(tuple(sorted(((r[0], r[1]) for r in part.toLocalIterator()), key=lambda x: (_order(x[0]), x[1]))))
         name = uuid.uuid4().hex
 
         def run(cols, sent=sent, name=name):
