@@ -256,6 +256,11 @@ STATEMENTS = VALUES | {
     "document_profile": _profile(True),
     "document_profile_ungated": _profile(False),
     "finding_rows": _findings(),
+    "streamed_findings": f"SELECT path, category, pd_group, hash, masked FROM ({_findings()})",
+    "streamed_levels": f"""WITH f AS ({_findings()}), g AS (SELECT path, {', '.join(f"count(*) FILTER (pd_group = '{k}') AS {k}" for k in ('regular', 'state_ids', 'payment', 'biometric', 'special'))}, bool_or(category IN ({O._STRICT})) AS strict FROM f GROUP BY path)
+        SELECT path, regular, state_ids, payment, biometric, special, (CASE WHEN special + biometric > 0 AND strict THEN 1 WHEN payment > 0 OR state_ids >= 100 THEN 2 WHEN special + biometric > 0 OR state_ids > 0 OR regular >= 100 THEN 3 ELSE 4 END)::INT AS uz_level FROM g""",
+    "streamed_events": O.ORACLE["hourly_events"],
+    "streamed_sessions": O.ORACLE["sessions"],
     "file_levels": f"WITH {O._classified(_findings())} SELECT path, total_findings, groups, categories, uz_level FROM cls",
     "masked_cells": f"SELECT chunk_id, kind, {mask('kind', 'v')} AS masked FROM (SELECT chunk_id, {O._KIND} AS kind, regexp_replace(text, {q(O._TRIM)}, '', 'g') AS v FROM text_chunk WHERE text IS NOT NULL) WHERE kind IS NOT NULL",
     "topk_chunks": _TOP,

@@ -19,7 +19,8 @@ from ..operators import finding as B
 from ..sources.chunks import chunk_files, read_chunks, states_of
 from ..sources.decode import decode_bytes, repair_texts
 from ..sources.extract import extract_files, json_lines
-from ..streaming.stream import event_windows, user_sessions
+from ..streaming.run import run_to_end, stream_of
+from ..streaming.stream import event_windows, finding_stream, running_levels, user_sessions
 from . import formats
 from . import report as R
 
@@ -382,6 +383,33 @@ def checksums(spark, d):
     )
 
 
+@query
+def streamed_findings(spark, d):
+    """Distinct findings of all chunks, as a stream of chunks gives them."""
+    found = finding_stream(stream_of(spark, f"{d}/text_chunk.parquet"))
+    return run_to_end(found.select("path", "category", "pd_group", "hash", "masked"))
+
+
+@query
+def streamed_levels(spark, d):
+    """Counts of groups and level of every path, as a stream of chunks leaves them."""
+    found = finding_stream(stream_of(spark, f"{d}/text_chunk.parquet"))
+    return run_to_end(running_levels(found).select("path", *B.GROUPS, "uz_level"), "complete")
+
+
+@query
+def streamed_events(spark, d):
+    """Events in windows of an hour, counted by a stream."""
+    rows = event_windows(stream_of(spark, f"{d}/events.parquet"))
+    return run_to_end(rows, "complete").select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query
+def streamed_sessions(spark, d):
+    """Sessions of users, found by a stream."""
+    return run_to_end(user_sessions(stream_of(spark, f"{d}/events.parquet")), "complete")
+
+
 @query
 def hourly_events(spark, d):
     return event_windows(table(spark, d, "events")).select("window_start", "event_type", "n", F.round("total", 4).alias("total"))

@@ -38,13 +38,20 @@ def running_levels(distinct: DataFrame, big: int = 100) -> DataFrame:
     return counts.select("path", *GROUPS, level(n, F.col("strict"), big).alias("uz_level"))
 
 
+def _timed(events: DataFrame, delay: str) -> tuple[DataFrame, str]:
+    """Events with a watermark where they are a stream, and the type of their time; a watermark wants a time with a zone."""
+    kind = dict(events.dtypes)["ts"]
+    return (events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay) if events.isStreaming else events), kind
+
+
 def event_windows(events: DataFrame, length: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """Events and their values by kind in tumbling windows; later events than ``delay`` are left out of a stream."""
-    rows = events.withWatermark("ts", delay) if events.isStreaming else events
-    return rows.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+    rows, kind = _timed(events, delay)
+    return rows.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").cast(kind).alias("window_start"), "event_type", "n", "total")
 
 
 def user_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "2 hours") -> DataFrame:
     """Sessions of users: runs of events no further apart than ``gap``."""
-    rows = events.withWatermark("ts", delay) if events.isStreaming else events
-    return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+    rows, kind = _timed(events, delay)
+    grouped = rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return grouped.select("user_id", F.col("w.start").cast(kind).alias("session_start"), F.col("w.end").cast(kind).alias("session_end"), "n")
