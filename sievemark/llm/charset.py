@@ -27,7 +27,7 @@ from __future__ import annotations
 import codecs
 import re
 import uuid
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -356,13 +356,18 @@ def _probes(run: str):
 _STOP = re.compile(r"[.!?…]\s+")
 
 
-def _units(text: str, a: int, b: int):
-    """Wider and wider parts of the text around a run, the widest first: its line, its sentences, its neighbour words, itself."""
+def _units(text: str, a: int, b: int, stops_of: dict[int, list[int]]):
+    """Wider and wider parts of the text around a run, the widest first: its line, its sentences, its neighbour words, itself.
+
+    ``stops_of`` keeps the ends of sentences of a line for its other runs.
+    """
     left, right = text.rfind("\n", 0, a) + 1, text.find("\n", b)
     right = right if right >= 0 else len(text)
     units = [(left, right)]
-    stops = [left + m.end() for m in _STOP.finditer(text[left:right])]
-    units.append((max([left, *(s for s in stops if s <= a)]), min([right, *(s for s in stops if s >= b)])))
+    if (stops := stops_of.get(left)) is None:
+        stops = stops_of[left] = [left + m.end() for m in _STOP.finditer(text[left:right])]
+    before, behind = bisect_right(stops, a), bisect_left(stops, b)
+    units.append((stops[before - 1] if before else left, stops[behind] if behind < len(stops) else right))
     x, y = a, b
     if m := re.search(r"(?<!\S)\S{1,2}[^\S\n]$", text[max(0, a - 4) : a]):
         x -= len(m.group())
@@ -416,6 +421,8 @@ def restore(text: str, scores: np.ndarray, model: Model, gap: int = 40) -> tuple
         return False, lost, text
     fixes: list[tuple[int, int, str]] = []
     chains_of: dict[int, Chain] = {}
+    stops_of: dict[int, list[int]] = {}
+    made: dict[tuple[int, int, Chain], str | None] = {}  # what a chain makes of a part that other runs are in too
     for n, (a, b) in enumerate(runs):
         if fixes and a < fixes[-1][1]:
             continue
@@ -427,12 +434,16 @@ def restore(text: str, scores: np.ndarray, model: Model, gap: int = 40) -> tuple
             if not chains:
                 continue
             tried.update(chains)
-            units = units or list(_units(text, a, b))
+            units = units or list(_units(text, a, b, stops_of))
             for x, y in units:
                 # alone, a short run among others proves a mapping only if that is strict
                 strict = (x, y) != (a, b) or lonely or b - a >= 12
                 for chain in chains:
-                    if (strict or chain[0][1] == "utf-8") and (out := holds(text[x:y], chain, model)) is not None:
+                    if not strict and chain[0][1] != "utf-8":
+                        continue
+                    if (x, y, chain) not in made:
+                        made[x, y, chain] = holds(text[x:y], chain, model)
+                    if (out := made[x, y, chain]) is not None:
                         found = (x, y, out)
                         break
                 if found:
