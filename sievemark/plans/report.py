@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..operators.finding import advice
 
+# fixed values: the fields, headings and lines of all reports below have the wording that readers of these reports expect
 RESULT_FIELDS = ("path", "name", "size", "time", "file_format", "categories", "findings_count", "uz", "extractor", "recommendations", "warnings")
 
 
